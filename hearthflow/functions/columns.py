@@ -44,21 +44,28 @@ def one_decimal(c: Column | str) -> Column:
     return F.format_string("%.1f", as_col(c).cast("double"))
 
 
+def unsigned_at(payload: Column | str, position: int, size: int = 1) -> Column:
+    """Big-endian unsigned number of up to 7 bytes at a 0-based position of a BINARY column."""
+    return F.conv(F.hex(F.substring(as_col(payload), position + 1, size)), 16, 10).cast("bigint")
+
+
 def byte_at(payload: Column | str, position: int) -> Column:
-    """Unsigned byte at a 0-based position of a BINARY column."""
-    return F.conv(F.hex(F.substring(as_col(payload), position + 1, 1)), 16, 10).cast("int")
+    return unsigned_at(payload, position).cast("int")
 
 
 def little_endian_u32(payload: Column | str, position: int) -> Column:
+    big = unsigned_at(payload, position, 4)
+    one = F.lit(255).cast("bigint")
     parts = [
-        F.shiftleft(byte_at(payload, position + i).cast("bigint"), 8 * i) for i in range(4)
+        F.shiftleft(F.shiftright(big, 8 * i).bitwiseAND(one), 24 - 8 * i) for i in range(4)
     ]
     return reduce(lambda a, b: a.bitwiseOR(b), parts)
 
 
 def xor_bytes(payload: Column | str, count: int) -> Column:
-    return reduce(lambda a, b: a.bitwiseXOR(b), [byte_at(payload, i) for i in range(count)])
-
-
-def state_in(c: Column | str, *states: str) -> Column:
-    return as_col(c).isin(*states)
+    """XOR of the first `count` bytes: seven at a time, then the word is folded onto itself."""
+    words = [unsigned_at(payload, i, min(7, count - i)) for i in range(0, count, 7)]
+    word = reduce(lambda a, b: a.bitwiseXOR(b), words)
+    for bits in (32, 16, 8):
+        word = word.bitwiseXOR(F.shiftright(word, bits))
+    return word.bitwiseAND(F.lit(255).cast("bigint")).cast("int")

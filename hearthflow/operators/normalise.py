@@ -230,3 +230,17 @@ def clean(df: DataFrame) -> DataFrame:
     """The whole cleaning step: names, numbers, empty and incomplete rows, bounds, room."""
     named = alias_normalise(drop_empty(df))
     return room_default(clamp_bounds(critical_present(numeric_coerce(named))))
+
+
+def flagged(raw: DataFrame) -> DataFrame:
+    """Raw rows with the cleaning step's findings as columns instead of dropped rows."""
+    empty = F.lit(True)
+    for c in raw.columns:
+        empty = empty & F.col(c).isNull()
+    named = alias_normalise(raw.withColumn("empty", empty))
+    number = numeric_coerce(named)
+    complete = F.lit(True)
+    for c in CRITICAL_COLUMNS:
+        if c in number.columns:
+            complete = complete & F.col(c).isNotNull()
+    return room_default(clamp_bounds(number.withColumn("complete", complete)))

@@ -10,7 +10,10 @@ EPOCH = 1_704_067_200
 
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One sensor reading per event on a 1 Hz clock; 10 rooms with 2 devices each."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return _from_events(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def _from_events(events: DataFrame) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
     error = F.col("event_type") == "error"
     return events.select(
@@ -36,3 +39,10 @@ def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_type",
         "value",
     )
+
+
+def reading_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same readings as a streaming source over the table's file."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
+    return _from_events(source.parquet(sf_dir))

@@ -168,7 +168,7 @@ def tagged_lines(df: DataFrame, line: str = "line", tag: str = "CSV") -> DataFra
 
     A node prints each sample in both forms, so one of them is read.
     """
-    text = F.trim(F.col(line))
+    text = F.btrim(F.col(line), F.lit(" \t\r\n"))
     kept = df.filter(text.startswith(f"{tag},")).withColumn(
         "_rest", F.substring(text, len(tag) + 2, 1_000_000)
     )
@@ -203,7 +203,7 @@ def serial_csv(
     time or level field are dropped. Session details go on every row."""
     if condition not in ("NORMAL", "FLAME", "RECOVERY", "NOISE", "UNKNOWN"):
         raise ValueError(f"unknown condition {condition}")
-    part = F.split(F.trim(F.col(line)), ",")
+    part = F.split(F.btrim(F.col(line), F.lit(" \t\r\n")), ",")
     digits = r"^[0-9]+$"
     return (
         df.withColumn("p", part)
