@@ -61,7 +61,7 @@ def stream_room_baseline(spark, sf):
 def stream_state_ttl(spark, sf):
     """Room state that is forgotten after a day without readings."""
     jobs.use_state_store(spark)
-    rows = processors.room_baseline(reading_stream(spark, sf), ttl_ms=24 * 3600 * 1000)
+    rows = processors.room_baseline(reading_stream(spark, sf), forget_ms=24 * 3600 * 1000)
     return _classified(jobs.drain(rows, "ttl"))
 
 

@@ -29,14 +29,14 @@ def rate_limit(
     **limits,
 ) -> DataFrame:
     """`alert_kind` per reading: TRANSITION, REMINDER, ALL_CLEAR or null."""
-    df = df.withColumns({"_at": micros("event_time"), "_level": level(state)})
+    df = df.withColumns({"at_us": micros("event_time"), "alert_level": level(state)})
 
     def step(s: Series) -> DataFrame:
         return walk_series(s, AlertWalk(reminder))
 
     return (
         over_series(df, key, order, step, **limits)
-        .drop("_at", "_level")
+        .drop("at_us", "alert_level")
         .withColumn("should_alert", F.col("alert_kind").isNotNull())
     )
 

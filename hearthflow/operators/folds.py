@@ -53,7 +53,7 @@ class Walk:
 class RoomBaselineWalk(Walk):
     """Adaptive room baseline that stops learning while a fire or pre-fire is seen."""
 
-    inputs = ("_at", "temperature", "humidity", "gas_raw", "flame_voltage", "flame_digital")
+    inputs = ("at_us", "temperature", "humidity", "gas_raw", "flame_voltage", "flame_digital")
     outputs = {
         "seen": T.LongType(),
         "gap_seconds": T.DoubleType(),
@@ -141,7 +141,7 @@ def holds_learning(temp_rate, temp_delta, gas_z, flame) -> bool:
 class EdgeThermalWalk(Walk):
     """Fast temperature average, its rate per minute, and a slow average of calm times."""
 
-    inputs = ("_at", "temperature")
+    inputs = ("at_us", "temperature")
     outputs = {
         "ema": T.DoubleType(),
         "rate_per_min": T.DoubleType(),
@@ -180,7 +180,7 @@ class EdgeThermalWalk(Walk):
 class PersistenceWalk(Walk):
     """Counter of hits against misses, kept between 0 and the cap."""
 
-    inputs = ("_hit",)
+    inputs = ("flame_hit",)
     outputs = {"persistence": T.IntegerType()}
     state_names = ("count",)
     start = (0,)
@@ -208,7 +208,7 @@ class PersistenceWalk(Walk):
 class AlertWalk(Walk):
     """Alert on a change into danger, every `reminder` seconds of it, and on all-clear."""
 
-    inputs = ("_at", "_level")
+    inputs = ("at_us", "alert_level")
     outputs = {"alert_kind": T.StringType()}
     state_names = ("last_level", "last_alert_at")
     start = (0, 0)

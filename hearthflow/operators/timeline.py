@@ -138,12 +138,12 @@ def edge_thermal(
     **limits,
 ) -> DataFrame:
     """Fast average, rate per minute, slow baseline and deviation of the temperature."""
-    df = df.withColumn("_at", micros("event_time"))
+    df = df.withColumn("at_us", micros("event_time"))
 
     def step(s: Series) -> DataFrame:
         return walk_series(s, EdgeThermalWalk(fast, slow))
 
-    out = over_series(df, key, order, step, **limits).drop("_at")
+    out = over_series(df, key, order, step, **limits).drop("at_us")
     return out.withColumns(
         {
             "deviation": F.col("ema") - F.col("slow_baseline"),
@@ -196,12 +196,12 @@ def persistence(
     **limits,
 ) -> DataFrame:
     """Counter of readings at or below the flame threshold against readings above it."""
-    df = df.withColumn("_hit", F.coalesce(F.col("flame_raw") <= threshold, F.lit(False)))
+    df = df.withColumn("flame_hit", F.coalesce(F.col("flame_raw") <= threshold, F.lit(False)))
 
     def step(s: Series) -> DataFrame:
         return walk_series(s, PersistenceWalk(cap))
 
-    out = over_series(df, key, order, step, **limits).drop("_hit")
+    out = over_series(df, key, order, step, **limits).drop("flame_hit")
     return out.withColumn("flame_confirmed", F.col("persistence") >= required)
 
 

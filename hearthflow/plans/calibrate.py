@@ -42,13 +42,13 @@ def walk_rooms(
     **limits,
 ) -> DataFrame:
     """Input columns plus everything the room baseline knows at each reading."""
-    filled = baseline_inputs(df).withColumn("_at", micros("event_time"))
+    filled = baseline_inputs(df).withColumn("at_us", micros("event_time"))
 
     def step(series):
         return walk_series(series, RoomBaselineWalk(alpha, *floors))
 
     limits.setdefault("sized_by", df)
-    return over_series(filled, key, order, step, **limits).drop("_at")
+    return over_series(filled, key, order, step, **limits).drop("at_us")
 
 
 def classify(df: DataFrame, **walk_options) -> DataFrame:

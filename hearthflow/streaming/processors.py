@@ -16,7 +16,7 @@ from ..operators.folds import AlertWalk, RoomBaselineWalk, Walk
 from ..operators.normalise import baseline_inputs
 from ..operators.rules import fusion_verdict
 
-AT = "_at"
+AT = "at_us"
 
 
 class WalkProcessor(StatefulProcessor):
@@ -26,15 +26,16 @@ class WalkProcessor(StatefulProcessor):
     leave the state alone.
     """
 
-    def __init__(self, walk: Walk, order: Sequence[str], ttl_ms: int | None = None):
-        self.walk, self.order, self.ttl_ms = walk, list(order), ttl_ms
+    def __init__(self, walk: Walk, order: Sequence[str], forget_ms: int | None = None):
+        self.walk, self.order, self.forget_ms = walk, list(order), forget_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         schema = T.StructType(
             [T.StructField(n, T.DoubleType()) for n in self.walk.state_names]
             + [T.StructField("newest", T.LongType())]
         )
-        self.state = handle.getValueState("walk", schema, self.ttl_ms)
+        self.handle = handle
+        self.state = handle.getValueState("walk", schema)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
         arrived = pd.concat(list(rows), ignore_index=True)
@@ -49,11 +50,23 @@ class WalkProcessor(StatefulProcessor):
         if len(fresh):
             columns = [fresh[c].tolist() for c in self.walk.inputs]
             state, _, out = self.walk.walk(state, columns)
-            self.state.update((*[float(x) for x in state], int(fresh[AT].iloc[-1])))
+            last = int(fresh[AT].iloc[-1])
+            self.state.update((*[float(x) for x in state], last))
+            self._set_timer(newest, last)
             yield fresh.assign(**dict(zip(self.walk.outputs, out)), late=False)
         if late.any():
             yield arrived[late].assign(**{n: None for n in self.walk.outputs}, late=True)
 
+    def _set_timer(self, before: int | None, now: int) -> None:
+        if self.forget_ms:
+            if before is not None:
+                self.handle.deleteTimer(before // 1000 + self.forget_ms)
+            self.handle.registerTimer(now // 1000 + self.forget_ms)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.state.clear()
+        return iter([])
+
     def close(self) -> None:
         pass
 
@@ -63,9 +76,15 @@ def walk_stream(
     walk: Walk,
     key: str,
     order: Sequence[str] = ("event_time", "reading_id"),
-    ttl_ms: int | None = None,
+    forget_ms: int | None = None,
 ) -> DataFrame:
-    """Input columns, the walk's outputs and `late`; needs the `_at` column."""
+    """Input columns, the walk's outputs and `late`; needs the `at_us` column.
+
+    With `forget_ms` the state of a key is dropped once it has been silent that long in
+    event time, so the state store holds only keys that are still in use.
+    """
+    if forget_ms:
+        df = df.withWatermark("event_time", f"{forget_ms} milliseconds")
     schema = T.StructType(
         [
             *df.schema,
@@ -74,27 +93,28 @@ def walk_stream(
         ]
     )
     return df.groupBy(key).transformWithStateInPandas(
-        statefulProcessor=WalkProcessor(walk, order, ttl_ms),
+        statefulProcessor=WalkProcessor(walk, order, forget_ms),
         outputStructType=schema,
         outputMode="Append",
-        timeMode="ProcessingTime" if ttl_ms else "None",
+        timeMode="EventTime" if forget_ms else "None",
     )
 
 
 def room_baseline(
-    df: DataFrame, alpha: float = 0.01, key: str = "room_id", ttl_ms: int | None = None
+    df: DataFrame, alpha: float = 0.01, key: str = "room_id", forget_ms: int | None = None
 ) -> DataFrame:
     """Streaming twin of plans.calibrate.classify, plus `late`."""
     filled = baseline_inputs(df).withColumn(AT, micros("event_time"))
-    return fusion_verdict(walk_stream(filled, RoomBaselineWalk(alpha), key, ttl_ms=ttl_ms)).drop(AT)
+    walked = walk_stream(filled, RoomBaselineWalk(alpha), key, forget_ms=forget_ms)
+    return fusion_verdict(walked).drop(AT)
 
 
 def alert_state(
     df: DataFrame, reminder: float = 60.0, state: str = "fire_state", key: str = "device_id"
 ) -> DataFrame:
     """Streaming twin of alerts.rate_limit, plus `late`."""
-    leveled = df.withColumns({AT: micros("event_time"), "_level": level(state)})
-    out = walk_stream(leveled, AlertWalk(reminder), key).drop(AT, "_level")
+    leveled = df.withColumns({AT: micros("event_time"), "alert_level": level(state)})
+    out = walk_stream(leveled, AlertWalk(reminder), key).drop(AT, "alert_level")
     return out.withColumn("should_alert", F.col("alert_kind").isNotNull())
 
 
@@ -109,7 +129,7 @@ class WatchdogProcessor(StatefulProcessor):
         self.last = handle.getValueState("last", "last_ms bigint")
 
     def handleInputRows(self, key, rows, timerValues):
-        newest = max(int(pdf["_ms"].max()) for pdf in rows)
+        newest = max(int(pdf["at_ms"].max()) for pdf in rows)
         if self.last.exists():
             known = self.last.get()[0]
             if newest <= known:
@@ -132,7 +152,7 @@ def watchdog(
     df: DataFrame, timeout_ms: int = 1500, watermark: str = "30 seconds", key: str = "device_id"
 ) -> DataFrame:
     """(device, silent_since_ms) once the watermark passes the end of a device's grace time."""
-    timed = df.select(key, "event_time", F.unix_millis("event_time").alias("_ms")).withWatermark(
+    timed = df.select(key, "event_time", F.unix_millis("event_time").alias("at_ms")).withWatermark(
         "event_time", watermark
     )
     return timed.groupBy(key).transformWithStateInPandas(
