@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import staging_path
+from ..session import staged
 
 
 def stated(r: DataFrame) -> DataFrame:
@@ -141,7 +141,11 @@ def packets(r: DataFrame) -> DataFrame:
     )
     zone = F.rpad(F.hex(F.col("room_id")), 16, "0")
     body = F.concat(head, little, byte(k % 5), byte(k), zone)
-    codes = [F.conv(F.substring(body, 2 * i + 1, 2), 16, 10).cast("int") for i in range(17)]
+    codes = [
+        F.when(k == 99, 187).otherwise(170), fire, F.least(k * 2, F.lit(181)), k % 5, k,
+        *[F.shiftright(number, 8 * i).bitwiseAND(255).cast("int") for i in range(4)],
+        *[F.ascii(F.substring("room_id", i + 1, 1)) for i in range(6)],
+    ]
     total = reduce(lambda a, b: a.bitwiseXOR(b), codes)
     broken = (F.col("event_type") == "signup") & (k < 10)
     check = F.when(broken, total.bitwiseXOR(F.lit(1))).otherwise(total)
@@ -150,10 +154,8 @@ def packets(r: DataFrame) -> DataFrame:
         .when(F.col("event_type") == "view", F.unhex(F.concat(head, F.lit("00"), little)))
         .otherwise(F.unhex(F.concat(body, byte(check))))
     )
-    spark = r.sparkSession
-    path = staging_path(spark, "packets")
-    r.select("reading_id", "t_sec", "event_time", "device_id", payload.alias("payload")).write.parquet(path)
-    return spark.read.parquet(path)
+    log = r.select("reading_id", "t_sec", "event_time", "device_id", payload.alias("payload"))
+    return staged(log, "packets")
 
 
 PACKETED = """

@@ -18,7 +18,7 @@ TREE_COLUMNS = ("push_id", "device_id", *(c for c in MASTER_COLUMNS if c != "dev
 
 
 def tree(r):
-    return wire.reading_tree(inputs.tree_docs(r), root="$.devices")
+    return wire.reading_tree(inputs.tree_docs(r), root="devices")
 
 
 @query(check(f"SELECT {', '.join(TREE_COLUMNS)} FROM treed", TREED))
@@ -59,10 +59,12 @@ POST_COLUMNS = (
     )
 )
 def src_telemetry_json(spark, sf):
-    ok, rejected = wire.split_rejects(wire.telemetry_json(inputs.telemetry_posts(readings(spark, sf))))
-    return ok.unionByName(
-        rejected.select("reading_id", "reason"), allowMissingColumns=True
-    ).select(*POST_COLUMNS)
+    """Accepted and rejected posts in one pass; a rejected post keeps its reason only."""
+    parsed = wire.telemetry_json(inputs.telemetry_posts(readings(spark, sf)))
+    good = F.col("reason").isNull()
+    return parsed.select(
+        "reading_id", "reason", *[F.when(good, F.col(c)).alias(c) for c in POST_COLUMNS[2:]]
+    )
 
 
 @query(
@@ -224,9 +226,9 @@ def filter_packet_valid(spark, sf):
 @query(check("SELECT reading_id, total AS checksum FROM packeted WHERE long_form", PACKETED))
 def agg_packet_checksum(spark, sf):
     return (
-        inputs.packets(readings(spark, sf))
-        .filter(F.length("payload") == 18)
-        .select("reading_id", packet_source.packet_checksum().alias("checksum"))
+        packet_source.packet_log(inputs.packets(readings(spark, sf)))
+        .filter(F.length("payload") == packet_source.FULL)
+        .select("reading_id", F.col("computed_checksum").alias("checksum"))
     )
 
 

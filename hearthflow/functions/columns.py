@@ -49,23 +49,23 @@ def unsigned_at(payload: Column | str, position: int, size: int = 1) -> Column:
     return F.conv(F.hex(F.substring(as_col(payload), position + 1, size)), 16, 10).cast("bigint")
 
 
-def byte_at(payload: Column | str, position: int) -> Column:
-    return unsigned_at(payload, position).cast("int")
+def byte_of(word: Column | str, shift: int) -> Column:
+    """The byte of a number that starts `shift` bits up."""
+    return F.shiftright(as_col(word), shift).bitwiseAND(0xFF).cast("int")
 
 
-def little_endian_u32(payload: Column | str, position: int) -> Column:
-    big = unsigned_at(payload, position, 4)
-    one = F.lit(255).cast("bigint")
+def little_endian_u32(word: Column | str) -> Column:
+    """Read the four bytes of a big-endian number the other way round."""
     parts = [
-        F.shiftleft(F.shiftright(big, 8 * i).bitwiseAND(one), 24 - 8 * i) for i in range(4)
+        F.shiftleft(F.shiftright(as_col(word), 8 * i).bitwiseAND(0xFF), 24 - 8 * i)
+        for i in range(4)
     ]
     return reduce(lambda a, b: a.bitwiseOR(b), parts)
 
 
-def xor_bytes(payload: Column | str, count: int) -> Column:
-    """XOR of the first `count` bytes: seven at a time, then the word is folded onto itself."""
-    words = [unsigned_at(payload, i, min(7, count - i)) for i in range(0, count, 7)]
-    word = reduce(lambda a, b: a.bitwiseXOR(b), words)
+def fold_xor(word: Column | str) -> Column:
+    """XOR of all bytes of a number."""
+    word = as_col(word)
     for bits in (32, 16, 8):
         word = word.bitwiseXOR(F.shiftright(word, bits))
-    return word.bitwiseAND(F.lit(255).cast("bigint")).cast("int")
+    return word.bitwiseAND(0xFF).cast("int")

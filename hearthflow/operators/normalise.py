@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import as_col, clamp, known, lenient_double, xor_bytes
+from ..functions.columns import as_col, clamp, known, lenient_double
 from ..schema import (
     ALIASES,
     BASELINE_DEFAULTS,
@@ -134,15 +134,6 @@ def pending_inference(df: DataFrame, pending: str = "PENDING_INFERENCE") -> Data
     return df.filter(done.isNull() | done.isin("", pending))
 
 
-def packet_ok(magic: int = 0xAA, max_angle: int = 180) -> Column:
-    """Header, angle and checksum all right, for the columns of sources.packets."""
-    return (
-        (F.col("header") == magic)
-        & (F.col("angle") <= max_angle)
-        & (xor_bytes("payload", 17) == F.col("checksum"))
-    )
-
-
 def device_doc(df: DataFrame) -> DataFrame:
     """Latest-state document of a device, one nested row per decision."""
     return df.select(

@@ -27,11 +27,11 @@ def master_csv(df: DataFrame, path: str, fmt: str = "csv", files: int | None = N
 
 
 def calibrated(df: DataFrame, path: str, time: str = "event_time", fmt: str = "parquet") -> None:
-    """Enriched readings by day. Rows of one day are spread over hash buckets of the reading
-    id, so a busy day is written by several tasks."""
+    """Enriched readings by day. The rebalance hint gathers a day in few files and splits a
+    day that is too large for one task."""
     (
         df.withColumn("event_date", F.to_date(time))
-        .repartition("event_date", F.pmod(F.xxhash64("reading_id"), F.lit(16)))
+        .hint("rebalance", "event_date")
         .write.mode("overwrite")
         .partitionBy("event_date")
         .format(fmt)

@@ -8,62 +8,62 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import NUMBER
-from ..schema import MASTER_COLUMNS
+OBJECT = "map<string, variant>"
 
-TREE = "map<string, struct<readings: map<string, string>>>"
-NODE = ", ".join(
-    f"{c} string"
-    for c in (*MASTER_COLUMNS, "temperature", "humidity", "pressure", "sensors_valid", "uptime_ms")
-)
+
+def _get(node: Column | str, path: str, kind: str) -> Column:
+    return F.try_variant_get(node, f"$.{path}", kind)
 
 
 def reading_tree(df: DataFrame, value: str = "value", root: str | None = None) -> DataFrame:
     """Flatten device -> readings -> push id; nodes that are not objects are skipped.
 
-    `root` names the path below which the devices sit, e.g. "$.devices". Defaults fill
-    the fields of the master export that a reading may lack.
+    `root` names the path below which the devices sit, e.g. "devices". Defaults fill the
+    fields of the master export that a reading may lack. Every document is parsed once,
+    into a VARIANT, and numbers may come as JSON numbers or as text.
     """
-    doc = F.get_json_object(value, root) if root else F.col(value)
+    doc = F.try_parse_json(value)
+    devices = _get(doc, root, OBJECT) if root else F.try_variant_get(doc, "$", OBJECT)
     nodes = (
-        df.select(F.explode(F.from_json(doc, TREE)).alias("path_device", "device"))
-        .select("path_device", F.explode("device.readings").alias("push_id", "node"))
-        .filter(F.col("node").startswith("{"))
-        .withColumn("r", F.from_json("node", NODE))
-        .filter("r is not null")
+        df.select(F.explode(devices).alias("path_device", "device"))
+        .select("path_device", F.explode(_get("device", "readings", OBJECT)).alias("push_id", "r"))
+        .filter(F.try_variant_get("r", "$", OBJECT).isNotNull())
     )
+
+    def text(name: str, default=None) -> Column:
+        found = _get("r", name, "string")
+        return found if default is None else F.coalesce(found, F.lit(default))
+
+    def number(*names: str, default=None, kind: str = "double") -> Column:
+        found = [_get("r", n, "double") for n in names]
+        if default is not None:
+            found.append(F.lit(float(default)))
+        return F.coalesce(*found).cast(kind)
+
     # Defaults of the master export.
     fields = {
-        "timestamp": _text("r.timestamp", ""),
-        "device_id": F.coalesce("r.device_id", "path_device"),
-        "zone_id": _text("r.zone_id", "ZONE_1"),
-        "experiment_id": _text("r.experiment_id", "EXP001"),
-        "temperature_c": F.coalesce("r.temperature_c", "r.temperature").try_cast("double"),
-        "humidity_percent": F.coalesce("r.humidity_percent", "r.humidity").try_cast("double"),
-        "pressure_hpa": _number(F.coalesce("r.pressure_hpa", "r.pressure"), 1013.25),
-        "flame_raw": F.col("r.flame_raw").try_cast("double"),
-        "flame_voltage": F.col("r.flame_voltage").try_cast("double"),
-        "flame_digital": _number(F.col("r.flame_digital"), 0, "int"),
-        "gas_raw": F.col("r.gas_raw").try_cast("double"),
-        "gas_voltage": F.col("r.gas_voltage").try_cast("double"),
-        "servo_angle": _number(F.col("r.servo_angle"), 90, "int"),
-        "fire_state": _text("r.fire_state", "NORMAL"),
-        "risk_score": _number(F.col("r.risk_score"), 0.0),
-        "ml_prediction": _text("r.ml_prediction", "NORMAL"),
-        "ml_confidence": _number(F.col("r.ml_confidence"), 0.0),
-        "responder_status": _text("r.responder_status", "IDLE"),
+        "timestamp": text("timestamp", ""),
+        "device_id": F.coalesce(text("device_id"), "path_device"),
+        "zone_id": text("zone_id", "ZONE_1"),
+        "experiment_id": text("experiment_id", "EXP001"),
+        "temperature_c": number("temperature_c", "temperature"),
+        "humidity_percent": number("humidity_percent", "humidity"),
+        "pressure_hpa": number("pressure_hpa", "pressure", default=1013.25),
+        "flame_raw": number("flame_raw"),
+        "flame_voltage": number("flame_voltage"),
+        "flame_digital": number("flame_digital", default=0, kind="int"),
+        "gas_raw": number("gas_raw"),
+        "gas_voltage": number("gas_voltage"),
+        "servo_angle": number("servo_angle", default=90, kind="int"),
+        "fire_state": text("fire_state", "NORMAL"),
+        "risk_score": number("risk_score", default=0.0),
+        "ml_prediction": text("ml_prediction", "NORMAL"),
+        "ml_confidence": number("ml_confidence", default=0.0),
+        "responder_status": text("responder_status", "IDLE"),
     }
     return nodes.select("push_id", "path_device", *[c.alias(n) for n, c in fields.items()])
 
 
-def _text(name: str, default: str) -> Column:
-    return F.coalesce(F.col(name), F.lit(default))
-
-
-def _number(c: Column, default, kind: str = "double") -> Column:
-    return F.coalesce(c.try_cast("double"), F.lit(float(default))).cast(kind)
-
-
 def path_fallback(primary: DataFrame, legacy: DataFrame, legacy_only: bool = True) -> DataFrame:
     """Readings of the primary path, and of the legacy path for devices without any.
 
@@ -80,19 +80,11 @@ def path_fallback(primary: DataFrame, legacy: DataFrame, legacy_only: bool = Tru
 
 
 def telemetry_json(df: DataFrame, value: str = "value") -> DataFrame:
-    """Parse telemetry posts; `reason` is null for a good post, else why it is rejected."""
-    body = F.from_json(F.trim(F.col(value)), "map<string, string>")
-
-    def pick(*names: str) -> Column:
-        return F.coalesce(*[F.try_element_at("_body", F.lit(n)) for n in names])
-
-    def stated(*names: str) -> Column:
-        found = [F.coalesce(F.map_contains_key("_body", n), F.lit(False)) for n in names]
-        out = found[0]
-        for c in found[1:]:
-            out = out | c
-        return out
+    """Parse telemetry posts; `reason` is null for a good post, else why it is rejected.
 
+    A field that is missing takes its default; one that is there but null or not a number
+    rejects the post.
+    """
     # Field names in order of preference and their defaults.
     numbers = {
         "flame_raw": (("flame_raw",), 850, "int"),
@@ -102,21 +94,39 @@ def telemetry_json(df: DataFrame, value: str = "value") -> DataFrame:
         "gas_raw": (("gas_raw", "gasRaw"), 120, "int"),
         "smoke_raw": (("smoke_raw", "smokeRaw"), 120, "int"),
     }
-    df = df.withColumn("_body", body)
-    out, reason = {}, F.when(
-        F.col("_body").isNull() | (F.size("_body") == 0), F.lit("empty payload")
-    )
-    for name, (names, default, kind) in numbers.items():
-        text = pick(*names)
-        bad = stated(*names) & ~F.coalesce(text.rlike(NUMBER), F.lit(False))
-        reason = reason.when(bad, F.lit(f"invalid field: {name}"))
-        parsed = F.when(text.rlike(NUMBER), F.trim(text).try_cast("double")).try_cast(kind)
-        out[name] = F.coalesce(parsed, F.lit(default).cast(kind))
-    truthy = F.lower(F.coalesce(pick("is_fire"), F.lit("false")))
-    out["flame_digital"] = F.when(truthy.isin("false", "0", "0.0", ""), 0).otherwise(1)
-    out["device_id"] = F.coalesce(pick("device_id"), F.lit("dev_001"))
-    out["room_id"] = F.coalesce(pick("room_id", "zone_id"), F.lit("Kitchen"))
-    return df.withColumns({**out, "reason": reason}).drop("_body")
+    df = df.withColumn("_body", F.try_parse_json(value))
+    df = df.withColumns(
+        {
+            f"_{name}": F.coalesce(*[_get("_body", n, "variant") for n in names])
+            for name, (names, _, _) in numbers.items()
+        }
+    ).withColumn("_fields", F.size(F.try_variant_get("_body", "$", OBJECT)))
+    parsed = {
+        name: F.try_variant_get(f"_{name}", "$", kind) for name, (_, _, kind) in numbers.items()
+    }
+    reason = F.when(F.coalesce(F.col("_fields"), F.lit(0)) < 1, F.lit("empty payload"))
+    for name, number in parsed.items():
+        reason = reason.when(
+            F.col(f"_{name}").isNotNull() & number.isNull(), F.lit(f"invalid field: {name}")
+        )
+    out = {
+        name: F.coalesce(parsed[name], F.lit(default).cast(kind))
+        for name, (_, default, kind) in numbers.items()
+    }
+    lit = F.coalesce(_get("_body", "is_fire", "boolean"), F.lit(False))
+    return df.withColumns(
+        {
+            **out,
+            "flame_digital": lit.cast("int"),
+            "device_id": F.coalesce(_get("_body", "device_id", "string"), F.lit("dev_001")),
+            "room_id": F.coalesce(
+                _get("_body", "room_id", "string"),
+                _get("_body", "zone_id", "string"),
+                F.lit("Kitchen"),
+            ),
+            "reason": reason,
+        }
+    ).drop("_body", "_fields", *[f"_{n}" for n in numbers])
 
 
 def split_rejects(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
