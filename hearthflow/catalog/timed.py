@@ -137,9 +137,10 @@ def win_enriched_reading(spark, sf):
             FROM (SELECT room_id, {ENRICHED_SQL} FROM classified)
             GROUP BY room_id, ai_classification_verdict""",
         ROOM_WALK,
-    )
+    ),
+    name="batch_calibrate",
 )
-def batch_calibrate_report(spark, sf):
+def calibrated_rooms(spark, sf):
     """Calibrate the whole table and summarise it per room and verdict."""
     return (
         batch_calibrate(readings(spark, sf))

@@ -81,7 +81,8 @@ def walk_stream(
     """Input columns, the walk's outputs and `late`; needs the `at_us` column.
 
     With `forget_ms` the state of a key is dropped once it has been silent that long in
-    event time, so the state store holds only keys that are still in use.
+    event time, so the state store holds only keys that are still in use. Spark then drops
+    rows that come later than that altogether.
     """
     if forget_ms:
         df = df.withWatermark("event_time", f"{forget_ms} milliseconds")
