@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 
 from .series import CHUNK, Series
 
+SEED = "seed"
 ROWS_PER_TASK = 2_000_000
 CLOSE = 1e-12
 
@@ -88,7 +89,7 @@ class RoomBaselineWalk(Walk):
         alpha, keep = self.alpha, 1.0 - self.alpha
         low, high = self.gap
         seeded, learned = False, 0
-        out = tuple([] for _ in self.outputs)
+        rows = []
         for at, t, h, g, f, lit, p in zip(*columns):
             gap = 1.0
             if n:
@@ -116,15 +117,13 @@ class RoomBaselineWalk(Walk):
                 gs = max(math.sqrt(gv), self.gas_floor)
                 fm = keep * fm + alpha * f
             at0, t0, g0, f0 = at, t, g, f
-            row = (n, gap, t_rate, g_rate, f_rate, *before, tm, hm, gm, pm, fm)
-            for column, value in zip(out, row):
-                column.append(value)
+            rows.append((n, gap, t_rate, g_rate, f_rate, *before, tm, hm, gm, pm, fm))
         fade = keep**learned
         mean = 0.0 if seeded else fade
         still = 0.0 if learned else 1.0
         gains = (1, mean, fade, still, mean, mean, mean, fade, still, mean, 0, 0, 0, 0)
         end = (n, tm, tv, ts, hm, pm, gm, gv, gs, fm, at0, t0, g0, f0)
-        return end, gains, out
+        return end, gains, tuple(zip(*rows))
 
 
 def holds_learning(temp_rate, temp_delta, gas_z, flame) -> bool:
@@ -264,6 +263,7 @@ def _walk_batches(batches, walk: Walk, key, chunk_starts=None):
             batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False).tolist()
             for c in walk.inputs
         ]
+        seed_at = batch.schema.get_field_index(SEED)
         for begin, end in _segments(batch, key):
             group = tuple(batch.column(i)[begin].as_py() for i in index)
             chunk = batch.column(chunk_at)[begin].as_py() if chunk_starts is not None else None
@@ -273,9 +273,22 @@ def _walk_batches(batches, walk: Walk, key, chunk_starts=None):
                 state = walk.start
                 if chunk_starts is not None:
                     known = chunk_starts.get((group, chunk), walk.start)
-                    state = tuple(type(s)(x) for s, x in zip(walk.start, known))
-            state, gains, out = walk.walk(state, [c[begin:end] for c in columns])
-            yield batch, begin, end, group, chunk, fresh, state, gains, out
+                    state = _as_state(walk, known)
+            seed = batch.column(seed_at)[begin].as_py() if seed_at >= 0 else None
+            if seed is not None:
+                # A saved state comes before the readings of its key and has no output.
+                state = _as_state(walk, seed)
+                blank = tuple([None] for _ in walk.outputs)
+                none = tuple(0 for _ in walk.start)
+                yield batch, begin, begin + 1, group, chunk, fresh, state, none, blank
+                begin, fresh = begin + 1, False
+            if begin < end:
+                state, gains, out = walk.walk(state, [c[begin:end] for c in columns])
+                yield batch, begin, end, group, chunk, fresh, state, gains, out
+
+
+def _as_state(walk: Walk, values: Sequence[float]) -> tuple:
+    return tuple(type(s)(x) for s, x in zip(walk.start, values))
 
 
 def _emit_rows(walk: Walk, key, chunk_starts=None):
@@ -341,21 +354,32 @@ def _same(a: tuple, b: tuple) -> bool:
     return all(abs(x - y) <= CLOSE * max(1.0, abs(x), abs(y)) for x, y in zip(a, b))
 
 
-def chunk_starts(series: Series, walk: Walk) -> dict:
-    """True start state of every (key, chunk) of a chunked series.
-
-    Only one short record per chunk reaches the driver: at most
-    rows / max_rows chunks plus one per large key.
-    """
-    df = series.df.select(*series.key, CHUNK, *walk.inputs)
-    schema = T.StructType(
-        [f for f in df.schema if f.name in series.key]
+def _ends_schema(series: Series) -> T.StructType:
+    return T.StructType(
+        [f for f in series.df.schema if f.name in series.key]
         + [
             T.StructField(CHUNK, T.IntegerType()),
             T.StructField("state", T.ArrayType(T.DoubleType())),
             T.StructField("gain", T.ArrayType(T.DoubleType())),
         ]
     )
+
+
+def _narrow(series: Series, walk: Walk) -> DataFrame:
+    extra = [c for c in (CHUNK, SEED) if c in series.df.columns]
+    keep = [*series.key, *extra, *walk.inputs]
+    if not series.chunked:
+        keep += [c for c in series.order if c not in keep]
+    return series.df.select(*keep)
+
+
+def chunk_starts(series: Series, walk: Walk) -> dict:
+    """True start state of every (key, chunk) of a chunked series.
+
+    Only one short record per chunk reaches the driver: at most
+    rows / max_rows chunks plus one per large key.
+    """
+    df, schema = _narrow(series, walk), _ends_schema(series)
     starts: dict = {}
     ends: dict = {}
     todo = df
@@ -381,6 +405,15 @@ def chunk_starts(series: Series, walk: Walk) -> dict:
         todo = df.filter(F.col(CHUNK).isin(*sorted(changed)))
 
 
+def _ordered(series: Series, df: DataFrame) -> DataFrame:
+    """Whole keys, each in order within one partition."""
+    spark = df.sparkSession
+    parts = max(
+        spark.sparkContext.defaultParallelism, math.ceil(series.total_rows / ROWS_PER_TASK)
+    )
+    return df.repartition(parts, *series.key).sortWithinPartitions(*series.key, *series.order)
+
+
 def walk_series(series: Series, walk: Walk) -> DataFrame:
     """Input columns plus the walk's outputs."""
     schema = T.StructType(
@@ -389,11 +422,23 @@ def walk_series(series: Series, walk: Walk) -> DataFrame:
     if series.chunked:
         starts = chunk_starts(series, walk)
         return series.df.mapInArrow(_emit_rows(walk, series.key, starts), schema)
-    spark = series.df.sparkSession
-    parts = max(
-        spark.sparkContext.defaultParallelism, math.ceil(series.total_rows / ROWS_PER_TASK)
-    )
-    ordered = series.df.repartition(parts, *series.key).sortWithinPartitions(
-        *series.key, *series.order
+    return _ordered(series, series.df).mapInArrow(_emit_rows(walk, series.key), schema)
+
+
+def final_states(series: Series, walk: Walk) -> DataFrame:
+    """One row per key: the state after its last row, a column per state field."""
+    df = _narrow(series, walk)
+    if series.chunked:
+        starts = chunk_starts(series, walk)
+        ends = df.mapInArrow(_emit_ends(walk, series.key, starts), _ends_schema(series))
+        ends = ends.groupBy(*series.key).agg(F.max_by("state", CHUNK).alias("state"))
+    else:
+        ends = _ordered(series, df).mapInArrow(
+            _emit_ends(walk, series.key, None), _ends_schema(series)
+        )
+    return ends.select(
+        *series.key,
+        *[F.get("state", F.lit(i)).alias(n) for i, n in enumerate(walk.state_names)],
+        # Keeps the shape of the chunked and the plain part alike.
+        F.lit(0).alias(CHUNK),
     )
-    return ordered.mapInArrow(_emit_rows(walk, series.key), schema)

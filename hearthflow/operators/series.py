@@ -201,4 +201,4 @@ def over_series(
     )
     small = step(Series(rest, key, order, total - large_rows))
     chunks = step(Series(split, key, order, large_rows, chunked=True))
-    return small.unionByName(chunks.drop(CHUNK))
+    return small.drop(CHUNK).unionByName(chunks.drop(CHUNK))

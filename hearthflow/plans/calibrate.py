@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import micros
-from ..operators.folds import RoomBaselineWalk, walk_series
+from ..operators.folds import SEED, RoomBaselineWalk, final_states, walk_series
 from ..operators.normalise import baseline_inputs
 from ..operators.rules import fusion_verdict
-from ..operators.series import over_series
+from ..operators.series import CHUNK, over_series
 
 ORDER = ("event_time", "reading_id")
 
@@ -33,22 +33,60 @@ ENRICHED = (
 )
 
 
+def _prepared(df: DataFrame, profiles: DataFrame | None, key: str) -> DataFrame:
+    filled = baseline_inputs(df).withColumn("at_us", micros("event_time"))
+    if profiles is None:
+        return filled
+    saved = profiles.select(
+        key,
+        F.array(*[F.col(n).cast("double") for n in RoomBaselineWalk.state_names]).alias(SEED),
+    )
+    return filled.withColumn(SEED, F.lit(None).cast("array<double>")).unionByName(
+        saved, allowMissingColumns=True
+    )
+
+
 def walk_rooms(
     df: DataFrame,
     alpha: float = 0.01,
     floors: tuple[float, float] = (0.3, 15.0),
     key: str = "room_id",
     order: Sequence[str] = ORDER,
+    profiles: DataFrame | None = None,
     **limits,
 ) -> DataFrame:
-    """Input columns plus everything the room baseline knows at each reading."""
-    filled = baseline_inputs(df).withColumn("at_us", micros("event_time"))
+    """Input columns plus everything the room baseline knows at each reading.
+
+    With `profiles` (see room_profiles) every room goes on from its saved state, so a day
+    can be calibrated without walking the days before it again.
+    """
+    limits.setdefault("sized_by", df)
 
     def step(series):
         return walk_series(series, RoomBaselineWalk(alpha, *floors))
 
+    walked = over_series(_prepared(df, profiles, key), key, order, step, **limits)
+    if profiles is not None:
+        walked = walked.filter(F.col(SEED).isNull()).drop(SEED)
+    return walked.drop("at_us")
+
+
+def room_profiles(
+    df: DataFrame,
+    alpha: float = 0.01,
+    floors: tuple[float, float] = (0.3, 15.0),
+    key: str = "room_id",
+    order: Sequence[str] = ORDER,
+    profiles: DataFrame | None = None,
+    **limits,
+) -> DataFrame:
+    """One row per room: its baseline state after the readings, to be saved for later."""
     limits.setdefault("sized_by", df)
-    return over_series(filled, key, order, step, **limits).drop("at_us")
+
+    def step(series):
+        return final_states(series, RoomBaselineWalk(alpha, *floors))
+
+    return over_series(_prepared(df, profiles, key), key, order, step, **limits).drop(CHUNK)
 
 
 def classify(df: DataFrame, **walk_options) -> DataFrame:
