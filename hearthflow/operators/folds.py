@@ -86,55 +86,71 @@ class RoomBaselineWalk(Walk):
 
     def walk(self, state, columns):
         (n, tm, tv, ts, hm, pm, gm, gv, gs, fm, at0, t0, g0, f0) = state
-        alpha, keep = self.alpha, 1.0 - self.alpha
+        size = len(columns[0])
+        # What needs only the previous reading is worked out for all rows at once.
+        at, temp, humidity, gas, flame_v, lit, pressure = (np.asarray(c) for c in columns)
         low, high = self.gap
-        seeded, learned = False, 0
-        rows = []
-        for at, t, h, g, f, lit, p in zip(*columns):
-            gap = 1.0
-            if n:
-                passed = (at - at0) / 1e6
-                if low <= passed <= high:
-                    gap = passed
-                t_rate, g_rate, f_rate = (t - t0) / gap, (g - g0) / gap, (f - f0) / gap
-            else:
-                t_rate = g_rate = f_rate = 0.0
-            before = (tm, ts, hm, gm, gs)
-            dt, gz = t - tm, (g - gm) / gs
-            n += 1
-            if n == 1:
-                tm, hm, pm, gm, fm, seeded = t, h, p, g, f, True
-            elif not holds_learning(t_rate, dt, gz, lit == 1 or f < 1.6):
+        passed = np.diff(at, prepend=at0 if n else at[0]) / 1e6
+        gap = np.where((passed >= low) & (passed <= high), passed, 1.0)
+        t_rate = np.diff(temp, prepend=t0 if n else temp[0]) / gap
+        g_rate = np.diff(gas, prepend=g0 if n else gas[0]) / gap
+        f_rate = np.diff(flame_v, prepend=f0 if n else flame_v[0]) / gap
+        flame = ((lit == 1) | (flame_v < 1.6)).tolist()
+
+        alpha, keep = self.alpha, 1.0 - self.alpha
+        temp_floor, gas_floor, sqrt = self.temp_floor, self.gas_floor, math.sqrt
+        before = (tm, ts, hm, gm, gs)
+        rows, learned, first = [], 0, 0
+        _, temps, humids, gases, flames, _, pressures = columns
+        if not n:
+            tm, hm, pm, gm, fm = temps[0], humids[0], pressures[0], gases[0], flames[0]
+            rows.append((tm, ts, hm, gm, gs, pm, fm))
+            first = 1
+        steps = zip(
+            temps[first:], humids[first:], gases[first:], flames[first:], pressures[first:],
+            flame[first:], t_rate[first:].tolist(),
+        )
+        for t, h, g, f, p, burning, rate in steps:
+            dt = t - tm
+            dg = g - gm
+            gz = dg / gs
+            # The profile holds still while rules.fusion_verdict sees a fire or pre-fire. The
+            # calmer verdicts it tests in between need a lower gas score or a smaller rise.
+            if not (
+                burning
+                or (gz > 3.5 and (dt > 2.0 or rate > 0.1))
+                or (rate > 0.4 and dt > 4.5 and gz > 3.0)
+            ):
                 learned += 1
                 tm += alpha * dt
                 tv = keep * tv + alpha * (dt * dt)
-                ts = max(math.sqrt(tv), self.temp_floor)
+                ts = sqrt(tv)
+                if ts < temp_floor:
+                    ts = temp_floor
                 hm = keep * hm + alpha * h
                 pm = keep * pm + alpha * p
-                dg = g - gm
                 gm += alpha * dg
                 gv = keep * gv + alpha * (dg * dg)
-                gs = max(math.sqrt(gv), self.gas_floor)
+                gs = sqrt(gv)
+                if gs < gas_floor:
+                    gs = gas_floor
                 fm = keep * fm + alpha * f
-            at0, t0, g0, f0 = at, t, g, f
-            rows.append((n, gap, t_rate, g_rate, f_rate, *before, tm, hm, gm, pm, fm))
+            rows.append((tm, ts, hm, gm, gs, pm, fm))
+
+        after = np.array(rows).T
+        out = (
+            np.arange(n + 1, n + size + 1),
+            gap, t_rate, g_rate, f_rate,
+            *(np.concatenate(([b], a[:-1])) for b, a in zip(before, after)),
+            after[0], after[2], after[3], after[5], after[6],
+        )
         fade = keep**learned
-        mean = 0.0 if seeded else fade
+        mean = 0.0 if first else fade
         still = 0.0 if learned else 1.0
         gains = (1, mean, fade, still, mean, mean, mean, fade, still, mean, 0, 0, 0, 0)
-        end = (n, tm, tv, ts, hm, pm, gm, gv, gs, fm, at0, t0, g0, f0)
-        return end, gains, tuple(zip(*rows))
-
-
-def holds_learning(temp_rate, temp_delta, gas_z, flame) -> bool:
-    """True when the reading counts as fire or pre-fire.
-
-    These are the same conditions as in rules.fusion_verdict; the calmer verdicts tested
-    there in between need a lower gas score or a smaller rise and cannot come first.
-    """
-    if flame or (temp_rate > 0.4 and temp_delta > 4.5 and gas_z > 3.0):
-        return True
-    return gas_z > 3.5 and (temp_delta > 2.0 or temp_rate > 0.1)
+        end = (n + size, tm, tv, ts, hm, pm, gm, gv, gs, fm,
+               columns[0][-1], temps[-1], gases[-1], flames[-1])
+        return end, gains, out
 
 
 class EdgeThermalWalk(Walk):
@@ -297,10 +313,10 @@ def _emit_rows(walk: Walk, key, chunk_starts=None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list] = [[] for _ in names]
         for batch, _, end, *_, out in _walk_batches(batches, walk, key, chunk_starts):
-            for column, values in zip(held, out):
-                column.extend(values)
+            for column, values, kind in zip(held, out, kinds):
+                column.append(pa.array(values, type=kind))
             if end == batch.num_rows:
-                arrays = [pa.array(v, type=k) for v, k in zip(held, kinds)]
+                arrays = [pa.concat_arrays(column) for column in held]
                 yield pa.RecordBatch.from_arrays(
                     [*batch.columns, *arrays], [*batch.schema.names, *names]
                 )
