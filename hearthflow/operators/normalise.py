@@ -112,7 +112,7 @@ def adc_to_volts(raw: Column | str, lsb=0.000125, divider=0.6) -> Column:
 
 
 def adc_rescale(raw: Column | str, shift=2) -> Column:
-    return F.shiftright(as_col(raw).cast("int"), shift)
+    return F.shiftright(as_col(raw).try_cast("int"), shift)
 
 
 def event_time(df: DataFrame, source: str = "timestamp", min_epoch: int = 1_700_000_000):
@@ -129,6 +129,12 @@ def event_time(df: DataFrame, source: str = "timestamp", min_epoch: int = 1_700_
     )
 
 
+def split_undated(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(readings with a time, readings without one): ordered work needs a time, and a
+    made-up one would corrupt rates, so undated readings are kept apart."""
+    return df.filter("event_time is not null"), df.filter("event_time is null")
+
+
 def pending_inference(df: DataFrame, pending: str = "PENDING_INFERENCE") -> DataFrame:
     done = F.col("ml_prediction")
     return df.filter(done.isNull() | done.isin("", pending))
@@ -204,7 +210,7 @@ def baseline_inputs(df: DataFrame) -> DataFrame:
     for name, default in BASELINE_DEFAULTS.items():
         kind = "int" if name == "flame_digital" else "double"
         if name in df.columns:
-            value = known(F.col(name).cast("double")).cast(kind)
+            value = known(F.col(name).cast("double")).try_cast(kind)
             out[name] = F.coalesce(value, F.lit(default).cast(kind))
         else:
             out[name] = F.lit(default).cast(kind)

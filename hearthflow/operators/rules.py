@@ -74,7 +74,8 @@ def thermal_risk(
 def flame_risk(
     flame_raw: Column | str, persistence: Column | str, threshold=400, max_persistence=3
 ) -> Column:
-    raw, held = as_col(flame_raw).cast("bigint"), as_col(persistence).cast("bigint")
+    raw = as_col(flame_raw).try_cast("bigint")
+    held = as_col(persistence).try_cast("bigint")
     depth = F.floor((F.lit(threshold) - raw) * 30 / F.lit(max(threshold, 1)))
     hold = F.floor(held * 20 / F.lit(max(max_persistence, 1)))
     return (

@@ -49,9 +49,10 @@ def session_bucket(session: str = "session_id"):
 
 
 def session_partitioned(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Session rows below bucket=<kind>/session_id=<id>."""
+    """Session rows below bucket=<kind>/session_id=<id>, a session in few files."""
     (
         df.withColumn("bucket", session_bucket())
+        .hint("rebalance", "bucket", "session_id")
         .write.mode("overwrite")
         .partitionBy("bucket", "session_id")
         .format(fmt)

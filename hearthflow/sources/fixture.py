@@ -10,6 +10,7 @@ EPOCH = 1_704_067_200
 
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One sensor reading per event on a 1 Hz clock; 10 rooms with 2 devices each."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return _from_events(spark.read.parquet(f"{sf_dir}/events.parquet"))
 
 
@@ -43,6 +44,7 @@ def _from_events(events: DataFrame) -> DataFrame:
 
 def reading_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same readings as a streaming source over the table's file."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
     return _from_events(source.parquet(sf_dir))

@@ -38,7 +38,7 @@ def reading_tree(df: DataFrame, value: str = "value", root: str | None = None) -
         found = [_get("r", n, "double") for n in names]
         if default is not None:
             found.append(F.lit(float(default)))
-        return F.coalesce(*found).cast(kind)
+        return F.coalesce(*found).try_cast(kind)
 
     # Defaults of the master export.
     fields = {

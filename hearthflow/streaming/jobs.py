@@ -11,6 +11,9 @@ from ..session import ROCKSDB, staging_path
 from ..sources.wire import split_rejects, telemetry_json
 
 WATERMARK = "30 seconds"
+# A micro-batch of one key is sorted in memory, so sources are read in bounded portions.
+BATCH_BYTES = "8g"
+BATCH_OFFSETS = 20_000_000
 
 
 def use_state_store(spark: SparkSession) -> None:
@@ -20,11 +23,14 @@ def use_state_store(spark: SparkSession) -> None:
 def file_stream(
     spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet", **options
 ) -> DataFrame:
+    if not {"maxFilesPerTrigger", "maxBytesPerTrigger"} & set(options):
+        options["maxBytesPerTrigger"] = BATCH_BYTES
     return spark.readStream.schema(schema).options(**options).format(fmt).load(path)
 
 
 def broker_stream(spark: SparkSession, servers: str, topic: str, **options) -> DataFrame:
     """Topic, value and time of broker messages (needs Spark's Kafka package)."""
+    options.setdefault("maxOffsetsPerTrigger", BATCH_OFFSETS)
     raw = (
         spark.readStream.format("kafka")
         .option("kafka.bootstrap.servers", servers)
