@@ -346,9 +346,9 @@ def agg_suppressed_summary(spark, sf):
 
 @query(
     check(
-        """SELECT count(*) AS initial_rows, count_if(k >= 3 AND k < 10) AS dropped_rows,
-             count_if(k >= 10 AND temperature * 4 > 120) AS clamped_rows,
-             count_if(k >= 10) AS valid_rows,
+        """SELECT count(*) AS initial_rows, count_if(k >= 3 AND k < 10)::BIGINT AS dropped_rows,
+             count_if(k >= 10 AND temperature * 4 > 120)::BIGINT AS clamped_rows,
+             count_if(k >= 10)::BIGINT AS valid_rows,
              count(DISTINCT CASE WHEN k >= 10 THEN room_id END) AS rooms
            FROM readings"""
     )
@@ -455,8 +455,9 @@ def agg_classification_report(spark, sf):
 
 @query(
     check(
-        "SELECT label, count_if(prediction = 0) AS predicted_0, "
-        "count_if(prediction = 1) AS predicted_1, count_if(prediction = 2) AS predicted_2 "
+        "SELECT label, count_if(prediction = 0)::BIGINT AS predicted_0, "
+        "count_if(prediction = 1)::BIGINT AS predicted_1, "
+        "count_if(prediction = 2)::BIGINT AS predicted_2 "
         "FROM labelled GROUP BY label",
         ROOM_WALK,
         LABELLED,

@@ -348,7 +348,7 @@ def win_response_intervals(spark, sf):
 
 @query(
     check(
-        """SELECT reading_id, sum(turned) OVER w AS sweep_id
+        """SELECT reading_id, (sum(turned) OVER w)::BIGINT AS sweep_id
            FROM (SELECT *, coalesce(moved <> lag(heading) OVER w, false)::INTEGER AS turned
                  FROM (SELECT *, last_value(moved IGNORE NULLS) OVER
                            (PARTITION BY device_id ORDER BY t_sec, reading_id

@@ -245,6 +245,9 @@ class AlertWalk(Walk):
                 kind = "ALL_CLEAR"
             if kind:
                 alerted_at, quiet = at, 0
+            if level < 2:
+                # Entering danger alerts at once, so the last alert no longer matters.
+                alerted_at, quiet = 0, 0
             last = level
             out.append(kind)
         return (last, alerted_at), (0, quiet), (out,)

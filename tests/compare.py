@@ -28,26 +28,32 @@ def _rows(columns, rows):
     return sorted(columns), sorted(out, key=lambda r: tuple((v is None, str(v)) for v in r))
 
 
+TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+         "boolean": "BOOLEAN"}
+
+
 def expected(sql: str, sf: str):
     con = duckdb.connect()
     for f in (DATA / f"sf{sf}").glob("*.parquet"):
         con.execute(f"CREATE VIEW {f.stem} AS SELECT * FROM '{f}'")
     result = con.execute(sql)
-    return _rows([d[0] for d in result.description], result.fetchall())
+    types = {d[0]: str(d[1]) for d in result.description}
+    return types, *_rows([d[0] for d in result.description], result.fetchall())
 
 
 def actual(df):
-    return _rows(df.columns, [tuple(r) for r in df.collect()])
+    types = {name: TYPES.get(kind, kind) for name, kind in df.dtypes}
+    return types, *_rows(df.columns, [tuple(r) for r in df.collect()])
 
 
 def difference(name, query, sql, spark, sf) -> str | None:
     """None when the query and its SQL agree, else a short description."""
-    columns, rows = actual(query(spark, str(DATA / f"sf{sf}")))
+    types, columns, rows = actual(query(spark, str(DATA / f"sf{sf}")))
     if sql is None:
         return None if rows else "no rows"
-    want_columns, want = expected(sql, sf)
-    if columns != want_columns:
-        return f"columns {columns} != {want_columns}"
+    want_types, want_columns, want = expected(sql, sf)
+    if types != want_types:
+        return f"columns {types} != {want_types}"
     if len(rows) != len(want):
         return f"{len(rows)} rows != {len(want)}"
     bad = [(a, b) for a, b in zip(rows, want) if a != b]
