@@ -12,7 +12,7 @@ from ..sources.wire import split_rejects, telemetry_json
 
 WATERMARK = "30 seconds"
 # A micro-batch of one key is sorted in memory, so sources are read in bounded portions.
-BATCH_BYTES = "8g"
+BATCH_BYTES = 8 * 1024**3
 BATCH_OFFSETS = 20_000_000
 
 
