@@ -3,19 +3,26 @@
 from __future__ import annotations
 
 from .decontaminate import op9_pigeonhole_edit_matching
+from .lines import OP3_SQL, op3_line_chunks
 from .packing import op2_best_fit_packing
+from .quality import op8_co_training_quality
 from .topk import OP6_SQL, op6_exact_top_k
+from .toxicity import op4_kneser_ney_toxicity
 from .warc import OP1_SQL, op1_warc_boundary_chains
 from .wavelet import op7_wavelet_matrix
 
 QUERIES = {
     "op1_warc_boundary_chains": op1_warc_boundary_chains,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_line_chunks": op3_line_chunks,
+    "op4_kneser_ney_toxicity": op4_kneser_ney_toxicity,
     "op6_exact_top_k": op6_exact_top_k,
     "op7_wavelet_matrix": op7_wavelet_matrix,
+    "op8_co_training_quality": op8_co_training_quality,
     "op9_pigeonhole_edit_matching": op9_pigeonhole_edit_matching,
 }
 ORACLES = {
     "op1_warc_boundary_chains": OP1_SQL,
+    "op3_line_chunks": OP3_SQL,
     "op6_exact_top_k": OP6_SQL,
 }
