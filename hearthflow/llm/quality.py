@@ -27,6 +27,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from ..session import staged
 from .common import table
@@ -82,7 +83,7 @@ def describe(text: str | None) -> list[float]:
     ]
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(ArrayType(DoubleType()))
 def described(texts: pd.Series) -> pd.Series:
     return pd.Series([describe(t) for t in texts])
 
