@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import op9_pigeonhole_edit_matching
+from .jaccard import OP5_SQL, op5_chosen_path_join
 from .lines import OP3_SQL, op3_line_chunks
 from .packing import op2_best_fit_packing
 from .quality import op8_co_training_quality
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_line_chunks": op3_line_chunks,
     "op4_kneser_ney_toxicity": op4_kneser_ney_toxicity,
+    "op5_chosen_path_join": op5_chosen_path_join,
     "op6_exact_top_k": op6_exact_top_k,
     "op7_wavelet_matrix": op7_wavelet_matrix,
     "op8_co_training_quality": op8_co_training_quality,
@@ -24,5 +26,6 @@ QUERIES = {
 ORACLES = {
     "op1_warc_boundary_chains": OP1_SQL,
     "op3_line_chunks": OP3_SQL,
+    "op5_chosen_path_join": OP5_SQL,
     "op6_exact_top_k": OP6_SQL,
 }
