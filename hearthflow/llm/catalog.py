@@ -6,6 +6,7 @@ from .decontaminate import op9_pigeonhole_edit_matching
 from .jaccard import OP5_SQL, op5_chosen_path_join
 from .lines import OP3_SQL, op3_line_chunks
 from .packing import op2_best_fit_packing
+from .passages import op10_paragraph_banding
 from .quality import op8_co_training_quality
 from .topk import OP6_SQL, op6_exact_top_k
 from .toxicity import op4_kneser_ney_toxicity
@@ -22,6 +23,7 @@ QUERIES = {
     "op7_wavelet_matrix": op7_wavelet_matrix,
     "op8_co_training_quality": op8_co_training_quality,
     "op9_pigeonhole_edit_matching": op9_pigeonhole_edit_matching,
+    "op10_paragraph_banding": op10_paragraph_banding,
 }
 ORACLES = {
     "op1_warc_boundary_chains": OP1_SQL,
