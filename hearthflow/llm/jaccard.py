@@ -63,15 +63,16 @@ def shingle_set(text: str | None) -> np.ndarray:
 
 
 def _described(docs: DataFrame, batch_no: int) -> DataFrame:
-    """doc_id, skey (hash of the set, null without words) and the sampled tokens of all steps."""
+    """doc_id, tkey (hash of the text), skey (hash of the set, null without words) and the sampled
+    tokens of all steps."""
     chosen = salts(RUNS * DEPTH, seed=batch_no)
 
     def run(batches):
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            sets = [shingle_set(t) for t in texts]
+            sets = [shingle_set(t) for t in batch.column(2).to_pylist()]
             yield {
-                "doc_id": ids,
+                "doc_id": batch.column(0),
+                "tkey": batch.column(1),
                 "skey": [set_key(s) if len(s) else None for s in sets],
                 "tokens": [
                     (minhashes(s, chosen) >> np.uint64(33)).astype(np.int32) if len(s) else None
@@ -80,9 +81,10 @@ def _described(docs: DataFrame, batch_no: int) -> DataFrame:
             }
 
     return map_batches(
-        docs.select(F.col("doc_id").cast("bigint"), "text"), run,
-        "doc_id bigint, skey string, tokens array<int>",
-    )
+        docs.select(F.col("doc_id").cast("bigint"), F.xxhash64("text").alias("tkey"), "text"),
+        run,
+        "doc_id bigint, tkey bigint, skey string, tokens array<int>",
+    )
 
 
 def _leaves(nodes: DataFrame, first_run: int) -> tuple[DataFrame, dict[int, int]]:
@@ -170,15 +172,19 @@ def _compare(threshold: float):
 def near_duplicates(
     docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL
 ) -> DataFrame:
-    """doc_id, class_id (the smallest doc_id of the group), n_links (documents at least that
-    similar), copy_of (the smallest doc_id with an equal set); one row per document."""
+    """One row per document: doc_id, class_id (the smallest doc_id of the group), n_links
+    (documents at least that similar), copy_of (the smallest doc_id with an equal set), tkey (hash
+    of the text) and first (whether it is the one of its group that comes first by doc_id, nulls
+    last, then tkey)."""
     described = _described(docs, 0).withColumn("uid", F.monotonically_increasing_id())
     described = staged(described, "sets")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tkey")
     classes = described.where("skey is not null").groupBy("skey").agg(
-        F.min("uid").alias("uid"), F.count("*").alias("size"), F.min("doc_id").alias("copy_of")
+        F.min("uid").alias("uid"), F.count("*").alias("size"), F.min(order).alias("first_row")
     )
+    classes = classes.withColumn("copy_of", F.col("first_row.doc_id"))
     classes = staged(classes, "classes")
-    found, miss, batch_no, parts = classes.join(described, ["skey", "uid"], "inner"), 1.0, 0, []
+    found, miss, batch_no, parts = classes.join(described, ["skey", "uid"]), 1.0, 0, []
     while True:
         leaves, depth = _leaves(found.select("uid", "tokens"), batch_no * RUNS)
         parts.append(leaves)
@@ -222,24 +228,27 @@ def near_duplicates(
     grouped = classes.join(links, "uid", "left").join(
         roots, classes["uid"] == roots["node"], "left"
     ).withColumn("root", F.coalesce("root", "uid"))
-    names = grouped.groupBy("root").agg(F.min("copy_of").alias("class_id"))
+    names = grouped.groupBy("root").agg(F.min("first_row").alias("first_of_all"))
     grouped = grouped.join(names, "root").select(
-        "skey", "class_id", "copy_of",
+        "skey", "copy_of", "first_of_all",
         (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"),
     )
-    own = described.select("doc_id", F.col("skey").alias("k"))
+    own = described.select("doc_id", "tkey", F.col("skey").alias("k"))
+    alone = F.col("k").isNull()
     return own.join(grouped, F.col("k") == F.col("skey"), "left").select(
         "doc_id",
-        F.when(F.col("k").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("first_of_all.doc_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"),
-        F.when(F.col("k").isNull(), F.col("doc_id")).otherwise(F.col("copy_of")).alias("copy_of"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("copy_of")).alias("copy_of"),
+        "tkey",
+        (alone | order.eqNullSafe(F.col("first_of_all"))).alias("first"),
     )
 
 
 def _sets(docs: DataFrame, described: DataFrame, people: DataFrame) -> DataFrame:
     """uid and the whole set of each class that is compared."""
     who = people.select("uid").join(described, "uid").select(
-        "uid", F.col("doc_id").alias("_doc"), F.col("skey").alias("_skey")
+        "uid", F.col("doc_id").alias("_doc"), F.col("tkey").alias("_tkey"), F.col("skey").alias("_skey")
     )
     who = staged(who, "who")
 
@@ -253,19 +262,27 @@ def _sets(docs: DataFrame, described: DataFrame, people: DataFrame) -> DataFrame
                     out["shingles"].append(found.tobytes())
             yield out
 
-    texts = docs.select("doc_id", "text").join(who, F.col("doc_id").eqNullSafe(F.col("_doc")))
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("_k"))
+    texts = keyed.join(
+        who, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_k") == F.col("_tkey"))
+    )
     found = map_batches(texts.select("uid", "_skey", "text"), run, "uid bigint, shingles binary")
     return found.dropDuplicates(["uid"])
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """One document of each group stays, that with the smallest doc_id, with all its columns."""
+    """One document of each group stays, the first of it, with all its columns. Rows that agree
+    in doc_id and text are one document, of which one row stays."""
     groups = near_duplicates(docs.select("doc_id", "text"))
-    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(
-        F.col("doc_id").alias("_doc")
+    groups = staged(groups.select("doc_id", "tkey", "first"), "groups")
+    stay = groups.where("first").select(
+        F.col("doc_id").alias("_doc"), F.col("tkey").alias("_tkey")
     )
-    stay = staged(stay.distinct(), "stay")
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_doc")), "left_semi")
+    kept = docs.withColumn("_k", F.xxhash64("text")).join(
+        stay, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_k") == F.col("_tkey")), "left_semi"
+    ).drop("_k")
+    again = groups.where("first").groupBy("doc_id", "tkey").count().where("count > 1")
+    return kept if again.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
 
 
 def op5_chosen_path_join(spark, sf_dir: str) -> DataFrame:

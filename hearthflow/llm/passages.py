@@ -300,8 +300,8 @@ def clusters(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECA
 
 
 def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, **tuning) -> DataFrame:
-    """One row per run: doc_id, start and length in characters, words, paragraphs, the clusters
-    of its paragraphs, and keep."""
+    """One row per run: doc_id, tkey (hash of the text), start and length in characters, words,
+    paragraphs, the clusters of its paragraphs, and keep."""
     inside = Window.partitionBy("doc_id", "tkey").orderBy("no")
     runs = (
         clusters(docs, **tuning)
@@ -316,16 +316,19 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, **tuning)
             F.min("keep").alias("keep"),
         )
     )
-    return runs.where(F.col("words") >= least_words).drop("tkey", "_gap")
+    return runs.where(F.col("words") >= least_words).drop("_gap")
 
 
 def without_repeats(docs: DataFrame, **tuning) -> DataFrame:
     """doc_id and text of all documents without the runs that are not kept."""
     gone = repeated_passages(docs, **tuning).where("not keep")
-    spans = gone.groupBy(F.col("doc_id").alias("_doc")).agg(
+    spans = gone.groupBy(F.col("doc_id").alias("_doc"), F.col("tkey").alias("_tkey")).agg(
         F.sort_array(F.collect_list(F.struct("start", "length"))).alias("_spans")
     )
-    joined = docs.join(spans, F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("_k"))
+    joined = keyed.join(
+        spans, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_k") == F.col("_tkey")), "left"
+    )
     bounds = F.expr(
         "concat(array(struct(0L as a, coalesce(_spans[0].start, cast(length(text) as bigint)) as b)), "
         "transform(coalesce(_spans, array()), (s, i) -> struct(s.start + s.length as a, "

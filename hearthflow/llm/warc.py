@@ -222,30 +222,35 @@ def entries(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _walk(batches):
-    """Yields (file, offset, end of its record, bytes): the records from each split's entry on,
-    and before it the rest of the record that reaches into the split. A record that reaches out
-    of its split is cut short."""
+    """Yields (file, offset, end of its record, bytes, whole): the records from each split's
+    entry on, and before it the rest of the record that reaches into the split. A record that
+    reaches out of its split is cut short."""
     key, magic = None, MAGIC.encode()
     at = begin = start = behind = 0
-    entry, parts = None, []
+    entry, parts, started = None, [], False
+
+    def piece():
+        raw = b"".join(parts)
+        return key[0], start, behind, raw, started and len(raw) == behind - start
+
     for file, block, raw, begin_, entry_, behind_ in _rows(batches):
         if (file, block) != key:
             if parts:
-                yield key[0], start, behind, b"".join(parts)
+                yield piece()
             key, at, begin, entry = (file, block), 0, begin_, entry_
-            start, behind, parts = begin, behind_, []
+            start, behind, parts, started = begin, behind_, [], False
             if block == 0:
                 at = len(raw)
                 continue
         here = begin + at
         if entry is not None and at >= entry and here >= behind:
             if parts:
-                yield file, start, behind, b"".join(parts)
-            start, behind, parts = here, _successor(here, raw), []
+                yield piece()
+            start, behind, parts, started = here, _successor(here, raw), [], True
         parts += [magic, raw]
         at += len(magic) + len(raw)
     if parts:
-        yield key[0], start, behind, b"".join(parts)
+        yield piece()
 
 
 def _fields(raw: bytes) -> tuple[dict[str, str], bytes]:
@@ -270,8 +275,8 @@ RECORD = (
 def _parsed(pieces):
     out = []
     names = [f.split()[0] for f in RECORD.split(", ")]
-    for file, start, behind, raw in pieces:
-        if len(raw) != behind - start:
+    for file, start, behind, raw, whole in pieces:
+        if not whole:
             continue
         fields, payload = _fields(raw)
         given = [fields.get(f) for f in (
@@ -287,8 +292,8 @@ def _parsed(pieces):
 
 
 def _cut_short(batches):
-    for file, start, behind, raw in _walk(batches):
-        if len(raw) != behind - start:
+    for file, start, behind, raw, whole in _walk(batches):
+        if not whole:
             yield {"file": [file], "at": [start], "behind": [behind], "raw": [raw]}
 
 
@@ -313,7 +318,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     )
     rest = map_batches(
         joined.select("file", "at", "behind", "raw"),
-        lambda batches: _parsed(_rows(batches)),
+        lambda batches: _parsed((*row, True) for row in _rows(batches)),
         RECORD,
     )
     return whole.unionByName(rest)
