@@ -548,9 +548,14 @@ def topk_recent_per_device(spark, sf):
     return ranking.recent_per_device(readings(spark, sf)).select("reading_id", "device_id", "rank")
 
 
-@query(check(_top(50)))
+@query(
+    check(
+        "SELECT reading_id, device_id, (row_number() OVER (PARTITION BY device_id "
+        f"ORDER BY t_sec, reading_id))::INTEGER AS position FROM ({_top(50)})",
+    ).replace("SELECT reading_id, device_id, rank::INTEGER", "SELECT reading_id, device_id, t_sec, rank::INTEGER")
+)
 def device_history(spark, sf):
-    return ranking.device_history(readings(spark, sf)).select("reading_id", "device_id", "rank")
+    return ranking.device_history(readings(spark, sf)).select("reading_id", "device_id", "position")
 
 
 def _raised(spark, sf):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..plans.online import enrichment
@@ -57,11 +59,21 @@ def stream_room_baseline(spark, sf):
     return _classified(jobs.drain(on_time, "rooms"))
 
 
-@query(check(CLASSIFIED, ROOM_WALK))
+#: Every stretch of a room's readings without a silence of more than 30 s is a room of its own.
+SESSIONS = """
+sessions AS (
+  SELECT * REPLACE (room_id || '/' || session AS room_id) FROM (
+    SELECT *, sum(anew) OVER (PARTITION BY room_id ORDER BY t_sec, reading_id) AS session FROM (
+      SELECT *, CASE WHEN t_sec - lag(t_sec) OVER (PARTITION BY room_id
+                       ORDER BY t_sec, reading_id) > 30 THEN 1 ELSE 0 END AS anew
+      FROM readings)))"""
+
+
+@query(check(CLASSIFIED, SESSIONS, re.sub(r"\breadings\b", "sessions", ROOM_WALK)))
 def stream_state_ttl(spark, sf):
-    """Room state that is forgotten after a day without readings."""
+    """Room state that is forgotten after 30 seconds without readings."""
     jobs.use_state_store(spark)
-    rows = processors.room_baseline(reading_stream(spark, sf), forget_ms=24 * 3600 * 1000)
+    rows = processors.room_baseline(reading_stream(spark, sf), forget_ms=30_000)
     return _classified(jobs.drain(rows, "ttl"))
 
 
@@ -74,9 +86,11 @@ def stream_alert_state(spark, sf):
 
 @query(
     check(
-        """SELECT device_id AS device, (max(t_sec) + 1704067200) * 1000 AS silent_since_ms
-           FROM readings GROUP BY device_id
-           HAVING max(t_sec) + 1.501 <= (SELECT max(t_sec) - 30 FROM readings)"""
+        """SELECT device_id AS device, (t_sec + 1704067200) * 1000 AS silent_since_ms
+           FROM (SELECT device_id, t_sec,
+                   lead(t_sec) OVER (PARTITION BY device_id ORDER BY t_sec) AS next,
+                   max(t_sec) OVER () AS newest FROM readings)
+           WHERE coalesce(next - t_sec > 1.5, t_sec + 1.501 <= newest - 30)"""
     )
 )
 def stream_watchdog(spark, sf):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .timeline import latest_rows, sorted_by_time
@@ -28,8 +28,11 @@ def recent_per_device(df: DataFrame, rows: int = 10, key: str = "device_id") ->
 
 
 def device_history(df: DataFrame, rows: int = 50, key: str = "device_id") -> DataFrame:
-    """The stored history of each device, numbered from its newest reading back."""
-    return latest_rows(df, rows, key, [F.desc("event_time"), F.desc("reading_id")])
+    """The newest readings of each device, oldest first, with their `position`."""
+    newest = latest_rows(df, rows, key, [F.desc("event_time"), F.desc("reading_id")]).drop("rank")
+    oldest_first = Window.partitionBy(key).orderBy("event_time", "reading_id")
+    kept = newest.withColumn("position", F.row_number().over(oldest_first))
+    return kept.sortWithinPartitions(key, "position")
 
 
 def latest_per_device(

@@ -140,29 +140,52 @@ MQTT = (
 )
 
 
-def mqtt_json(df: DataFrame, topic: str = "topic", value: str = "value") -> DataFrame:
-    """Broker messages: device from the topic `<prefix>devices/<device>/telemetry`."""
+def mqtt_parsed(df: DataFrame, topic: str = "topic", value: str = "value") -> DataFrame:
+    """Broker messages with `reason`, which is null for readings: device from the topic
+    `<prefix>devices/<device>/telemetry`, else from the message."""
     from_topic = F.regexp_extract(topic, r"devices/([^/]+)/telemetry$", 1)
-    m = F.from_json(F.col(value).cast("string"), MQTT)
-    return (
-        df.withColumn("m", m)
-        .filter("m is not null")
-        .select(
-            F.coalesce(F.nullif(from_topic, F.lit("")), "m.deviceId").alias("device_id"),
-            F.col("m.roomId").alias("room_id"),
-            F.try_to_timestamp("m.recordedAt").alias("event_time"),
-            "m.temperature",
-            "m.humidity",
-            F.col("m.smoke").alias("smoke_raw"),
-            F.col("m.gasRaw").alias("gas_raw"),
-            F.col("m.flameDetected").cast("int").alias("flame_digital"),
-            F.col("m.temperatureRate").alias("rate_per_min"),
-            F.col("m.edgeRiskScore").alias("risk"),
-            F.col("m.edgeStatus").alias("status"),
-        )
+    text = F.col(value).cast("string")
+    m = F.from_json(text, f"{MQTT}, _broken string", {"columnNameOfCorruptRecord": "_broken"})
+    device = F.coalesce(F.nullif(from_topic, F.lit("")), "m.deviceId")
+    measured = F.coalesce(
+        *[F.col(f"m.{c}").cast("string") for c in ("temperature", "humidity", "smoke", "gasRaw")],
+        F.col("m.flameDetected").cast("string"),
+        "m.recordedAt",
+    )
+    reason = (
+        F.when(F.coalesce(F.btrim(text), F.lit("")) == "", "empty message")
+        .when(F.col("m").isNull() | F.col("m._broken").isNotNull(), "malformed message")
+        .when(measured.isNull(), "no values")
+        .when(device.isNull(), "no device")
+    )
+    return df.withColumn("m", m).select(
+        device.alias("device_id"),
+        F.col("m.roomId").alias("room_id"),
+        F.try_to_timestamp("m.recordedAt").alias("event_time"),
+        "m.temperature",
+        "m.humidity",
+        F.col("m.smoke").alias("smoke_raw"),
+        F.col("m.gasRaw").alias("gas_raw"),
+        F.col("m.flameDetected").cast("int").alias("flame_digital"),
+        F.col("m.temperatureRate").alias("rate_per_min"),
+        F.col("m.edgeRiskScore").alias("risk"),
+        F.col("m.edgeStatus").alias("status"),
+        reason.alias("reason"),
+        text.alias("message"),
     )
 
 
+def mqtt_json(df: DataFrame, topic: str = "topic", value: str = "value") -> DataFrame:
+    """The readings among broker messages; mqtt_rejects has the others."""
+    return mqtt_parsed(df, topic, value).filter("reason is null").drop("reason", "message")
+
+
+def mqtt_rejects(df: DataFrame, topic: str = "topic", value: str = "value") -> DataFrame:
+    """(device_id, reason, message) of broker messages that are no readings."""
+    parsed = mqtt_parsed(df, topic, value).filter("reason is not null")
+    return parsed.select("device_id", "reason", "message")
+
+
 CSV_LINE = (
     "device_id string, room_id string, temperature double, humidity double, gas_raw int, "
     "flame_digital int, rate_per_min double, risk int, status string"
@@ -180,7 +203,7 @@ def tagged_lines(df: DataFrame, line: str = "line", tag: str = "CSV") -> DataFra
     """
     text = F.btrim(F.col(line), F.lit(" \t\r\n"))
     kept = df.filter(text.startswith(f"{tag},")).withColumn(
-        "_rest", F.substring(text, len(tag) + 2, 1_000_000)
+        "_rest", F.substr(text, F.lit(len(tag) + 2), F.length(text))
     )
     if tag == "CSV":
         out = kept.withColumn("r", F.from_csv("_rest", CSV_LINE)).select("r.*")

@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..session import ROCKSDB, staging_path
 from ..sources.wire import split_rejects, telemetry_json
 
-WATERMARK = "30 seconds"
+REMEMBER = "1 hour"
 # A micro-batch of one key is sorted in memory, so sources are read in bounded portions.
 BATCH_BYTES = 8 * 1024**3
 BATCH_OFFSETS = 20_000_000
@@ -48,9 +48,11 @@ def ingest(posts: DataFrame, value: str = "value") -> tuple[DataFrame, DataFrame
     return split_rejects(telemetry_json(posts, value))
 
 
-def dedup(df: DataFrame, watermark: str = WATERMARK, key: str = "reading_id") -> DataFrame:
-    """Each reading once; ids are remembered for the length of the watermark only."""
-    return df.withWatermark("event_time", watermark).dropDuplicatesWithinWatermark([key])
+def dedup(df: DataFrame, remember: str = REMEMBER, key: str = "reading_id") -> DataFrame:
+    """Each reading once; an id is remembered for at least that long after it arrived. Time is that
+    of arrival, so a reading is never too late, however old it is."""
+    arrived = df.withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", remember)
+    return arrived.dropDuplicatesWithinWatermark([key]).drop("_arrived")
 
 
 def split_late(df: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,12 +23,20 @@ AT = "at_us"
 class WalkProcessor(StatefulProcessor):
     """Runs a Walk over the rows of a micro-batch in time order.
 
-    Rows older than the newest one already applied are passed on with `late` set and
-    leave the state alone.
+    Rows older than the newest one already applied, rows without a time and rows without a key
+    are passed on with `late` set and leave the state alone, so no row is lost. A key that was
+    silent for longer than `forget_ms` (in event time) starts anew.
     """
 
-    def __init__(self, walk: Walk, order: Sequence[str], forget_ms: int | None = None):
-        self.walk, self.order, self.forget_ms = walk, list(order), forget_ms
+    def __init__(
+        self,
+        walk: Walk,
+        order: Sequence[str],
+        forget_ms: int | None = None,
+        keep_ms: int | None = None,
+    ):
+        self.walk, self.order = walk, list(order)
+        self.forget_ms, self.keep_ms = forget_ms, keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         schema = T.StructType(
@@ -35,7 +44,7 @@ class WalkProcessor(StatefulProcessor):
             + [T.StructField("newest", T.LongType())]
         )
         self.handle = handle
-        self.state = handle.getValueState("walk", schema)
+        self.state = handle.getValueState("walk", schema, self.keep_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
         arrived = pd.concat(list(rows), ignore_index=True)
@@ -45,27 +54,31 @@ class WalkProcessor(StatefulProcessor):
         if stored is not None:
             state = tuple(type(s)(x) for s, x in zip(start, stored[:-1]))
             newest = stored[-1]
-        late = arrived[AT] < newest if newest is not None else arrived[AT] != arrived[AT]
+        late = arrived[AT].isna() | (key[0] is None)
+        if newest is not None:
+            late |= arrived[AT] < newest
         fresh = arrived[~late].sort_values(self.order, kind="stable")
-        if len(fresh):
-            columns = [fresh[c].tolist() for c in self.walk.inputs]
+        for part in self._between_silences(fresh, newest):
+            if self._silent(newest, int(part[AT].iloc[0])):
+                state = start
+            columns = [part[c].tolist() for c in self.walk.inputs]
             state, _, out = self.walk.walk(state, columns)
-            last = int(fresh[AT].iloc[-1])
-            self.state.update((*[float(x) for x in state], last))
-            self._set_timer(newest, last)
-            yield fresh.assign(**dict(zip(self.walk.outputs, out)), late=False)
+            newest = int(part[AT].iloc[-1])
+            self.state.update((*[float(x) for x in state], newest))
+            yield part.assign(**dict(zip(self.walk.outputs, out)), late=False)
         if late.any():
             yield arrived[late].assign(**{n: None for n in self.walk.outputs}, late=True)
 
-    def _set_timer(self, before: int | None, now: int) -> None:
-        if self.forget_ms:
-            if before is not None:
-                self.handle.deleteTimer(before // 1000 + self.forget_ms)
-            self.handle.registerTimer(now // 1000 + self.forget_ms)
+    def _silent(self, before: int | None, now: int) -> bool:
+        silent = self.forget_ms and before is not None and now - before > self.forget_ms * 1000
+        return bool(silent)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        self.state.clear()
-        return iter([])
+    def _between_silences(self, fresh: pd.DataFrame, newest: int | None) -> list[pd.DataFrame]:
+        """The rows, cut where the key was silent for too long."""
+        if not self.forget_ms or not len(fresh):
+            return [fresh] if len(fresh) else []
+        gaps = fresh[AT].diff() > self.forget_ms * 1000
+        return [part for _, part in fresh.groupby(gaps.cumsum(), sort=True)]
 
     def close(self) -> None:
         pass
@@ -77,15 +90,15 @@ def walk_stream(
     key: str,
     order: Sequence[str] = ("event_time", "reading_id"),
     forget_ms: int | None = None,
+    keep_ms: int | None = None,
 ) -> DataFrame:
     """Input columns, the walk's outputs and `late`; needs the `at_us` column.
 
-    With `forget_ms` the state of a key is dropped once it has been silent that long in
-    event time, so the state store holds only keys that are still in use. Spark then drops
-    rows that come later than that altogether.
+    `forget_ms` is a matter of results: a key that was silent for longer, in event time, starts
+    anew. `keep_ms` is a matter of storage: the state of a key is dropped once nothing has
+    arrived for that long by the clock; it should be longer than any outage. There is no
+    watermark, so neither drops rows.
     """
-    if forget_ms:
-        df = df.withWatermark("event_time", f"{forget_ms} milliseconds")
     schema = T.StructType(
         [
             *df.schema,
@@ -94,10 +107,10 @@ def walk_stream(
         ]
     )
     return df.groupBy(key).transformWithStateInPandas(
-        statefulProcessor=WalkProcessor(walk, order, forget_ms),
+        statefulProcessor=WalkProcessor(walk, order, forget_ms, keep_ms),
         outputStructType=schema,
         outputMode="Append",
-        timeMode="EventTime" if forget_ms else "None",
+        timeMode="ProcessingTime" if keep_ms else "None",
     )
 
 
@@ -120,7 +133,8 @@ def alert_state(
 
 
 class WatchdogProcessor(StatefulProcessor):
-    """Emits a row when a key stays silent for longer than the timeout (event time)."""
+    """Emits a row for each time that a key stays silent for longer than the timeout (event
+    time): as soon as the next packet shows it, else when the watermark passes its end."""
 
     def __init__(self, timeout_ms: int):
         self.timeout_ms = timeout_ms
@@ -130,15 +144,19 @@ class WatchdogProcessor(StatefulProcessor):
         self.last = handle.getValueState("last", "last_ms bigint")
 
     def handleInputRows(self, key, rows, timerValues):
-        newest = max(int(pdf["at_ms"].max()) for pdf in rows)
-        if self.last.exists():
-            known = self.last.get()[0]
-            if newest <= known:
-                return iter([])
-            self.handle.deleteTimer(known + self.timeout_ms + 1)
-        self.last.update((newest,))
-        self.handle.registerTimer(newest + self.timeout_ms + 1)
-        return iter([])
+        times = np.sort(np.concatenate([pdf["at_ms"].dropna().to_numpy() for pdf in rows]))
+        known = self.last.get()[0] if self.last.exists() else None
+        if known is not None:
+            times = np.concatenate([[known], times[times > known]])
+        if len(times) > (known is not None):
+            if known is not None:
+                self.handle.deleteTimer(known + self.timeout_ms + 1)
+            newest = int(times[-1])
+            self.last.update((newest,))
+            self.handle.registerTimer(newest + self.timeout_ms + 1)
+        since = times[:-1][np.diff(times) > self.timeout_ms].astype("int64")
+        if len(since):
+            yield pd.DataFrame({"device": key[0], "silent_since_ms": since})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         since = self.last.get()[0]
@@ -152,10 +170,10 @@ class WatchdogProcessor(StatefulProcessor):
 def watchdog(
     df: DataFrame, timeout_ms: int = 1500, watermark: str = "30 seconds", key: str = "device_id"
 ) -> DataFrame:
-    """(device, silent_since_ms) once the watermark passes the end of a device's grace time."""
-    timed = df.select(key, "event_time", F.unix_millis("event_time").alias("at_ms")).withWatermark(
-        "event_time", watermark
-    )
+    """(device, silent_since_ms) of every silence longer than the timeout."""
+    dated = df.filter(F.col("event_time").isNotNull() & F.col(key).isNotNull())
+    timed = dated.select(key, "event_time", F.unix_millis("event_time").alias("at_ms"))
+    timed = timed.withWatermark("event_time", watermark)
     return timed.groupBy(key).transformWithStateInPandas(
         statefulProcessor=WatchdogProcessor(timeout_ms),
         outputStructType="device string, silent_since_ms bigint",

@@ -11,6 +11,7 @@ from hearthflow.sinks.files import master_csv, session_bucket
 from hearthflow.sources.packets import packet_log
 from hearthflow.sources.wire import (
     mqtt_json,
+    mqtt_rejects,
     path_fallback,
     reading_tree,
     serial_csv,
@@ -191,3 +192,23 @@ def test_first_alias_that_is_there_wins(rows):
     df = rows("temp_c double, tempC double, other int", [(None, 2.0, 1), (1.0, 2.0, 2), (None, None, 3)])
     got = alias_normalise(df, defaults={"temperature": 25.0}).orderBy("other").collect()
     assert [r["temperature"] for r in got] == [2.0, 1.0, 25.0]
+
+
+def test_broken_broker_messages_are_rejected_with_a_reason(spark):
+    topic = "site/v1/devices/d1/telemetry"
+    rows = [
+        (topic, '{"temperature": 20.5}'), (topic, "not json"), (topic, "{}"), (topic, ""),
+        (topic, None), (topic, "[1"), ("other", '{"humidity": 3}'), (topic, '{"roomId": "a"}'),
+    ]
+    df = spark.createDataFrame(rows, "topic string, value string")
+    assert [r["temperature"] for r in mqtt_json(df).collect()] == [20.5]
+    reasons = sorted(r["reason"] for r in mqtt_rejects(df).collect())
+    assert reasons == sorted(
+        ["malformed message"] * 2 + ["no values"] * 2 + ["empty message"] * 2 + ["no device"]
+    )
+
+
+def test_long_tagged_line(spark):
+    line = "CSV,dev,room,20.5,40.0,1500,0,0.5,7," + "x" * 1_100_000
+    got = tagged_lines(spark.createDataFrame([(line,)], "line string")).collect()
+    assert len(got) == 1 and got[0]["device_id"] == "dev"

@@ -112,6 +112,47 @@ def test_replayed_batches_change_nothing(spark, readings, folder):
         assert again.exceptAll(want).count() == 0
 
 
+def test_every_row_comes_out_of_a_stream(spark, readings, folder):
+    """Late, undated and keyless rows are passed on; nothing is lost and nothing stops."""
+    first, second = by_time(readings, 500)
+    undated = second.limit(3).withColumn("event_time", F.lit(None).cast("timestamp"))
+    undated = undated.withColumn("reading_id", F.col("reading_id") + 10**6)
+    keyless = second.limit(2).withColumn("room_id", F.lit(None).cast("string"))
+    keyless = keyless.withColumn("reading_id", F.col("reading_id") + 2 * 10**6)
+    late = first.limit(5).withColumn("event_time", F.expr("event_time - interval 91 seconds"))
+    late = late.withColumn("reading_id", F.col("reading_id") + 3 * 10**6)
+    parts = [first, second.unionByName(undated).unionByName(keyless), late, undated]
+    got = in_batches(
+        spark, parts, folder, lambda s: processors.room_baseline(s, forget_ms=50_000)
+    )
+    want = sum(p.count() for p in parts)
+    assert got.count() == want
+    aside = got.filter("late").select("reading_id")
+    assert aside.filter("reading_id >= 1000000").count() == 3 + 2 + 5 + 3
+    assert got.filter("late and seen is not null").count() == 0
+
+
+def test_late_ids_are_not_lost_by_dedup(spark, folder):
+    def at(*rows):
+        made = spark.createDataFrame(list(rows), "reading_id int, s int")
+        return made.select("reading_id", F.timestamp_seconds("s").alias("event_time"))
+
+    parts = [at((1, 1000)), at((2, 1100)), at((3, 1009), (1, 1000)), at((4, 1200), (5, 1))]
+    got = in_batches(spark, parts, folder, lambda s: jobs.dedup(s))
+    assert sorted(r["reading_id"] for r in got.collect()) == [1, 2, 3, 4, 5]
+
+
+def test_watchdog_reports_every_silence(spark, folder):
+    def at(*seconds):
+        rows = [("d", float(s)) for s in seconds] + [(None, 1.0), ("d", None)]
+        made = spark.createDataFrame(rows, "device_id string, s double")
+        return made.select("device_id", F.timestamp_seconds("s").alias("event_time"))
+
+    parts = [at(0, 1, 20), at(25, 26, 25.5), at(200), at(201)]
+    got = in_batches(spark, parts, folder, lambda s: processors.watchdog(s))
+    assert sorted(r["silent_since_ms"] for r in got.collect()) == [1000, 20000, 26000]
+
+
 def test_dedup_over_batches(spark, readings, folder):
     slim = readings.select("reading_id", "event_time", "t_sec")
     first, second = by_time(slim, 500)
