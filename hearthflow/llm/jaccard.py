@@ -16,8 +16,10 @@ each run made, is below 1 - RECALL.
 All runs go through Spark as rows of (class, bucket). Buckets with the same members as one of an
 earlier run are compared once. In a bucket, a pair counts only if it met in no earlier run, which
 the rows' own bucket keys tell; so links are counted once without a list of pairs, and each bucket
-emits at most one row per member and a spanning forest of its links. Similarity is exact, on the
-whole sets of the classes that share a bucket with another. Components of the links are the groups.
+emits at most one row per member and a spanning forest of its links. Members that agree with no
+other one of their bucket in so many of all sampled tokens as a pair at the threshold does with a
+probability above 0.99999 are dropped first; similarity is exact, on the whole sets of the
+others. Components of the links are the groups.
 
 Documents without any word (null or empty texts too) are groups of their own without links. Rows
 that repeat a document are copies. Null doc_ids are kept; a group without any doc_id has class_id
@@ -26,9 +28,11 @@ null. Extra columns play no part.
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -129,26 +133,67 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
+def _sides(rows: list[tuple], same: bool) -> tuple[list, list]:
+    """Rows (side, uid, ...) of the two sides of a piece of work, one per class."""
+    left = list({r[1]: r for r in rows if r[0] == 0}.values())
+    return left, left if same else list({r[1]: r for r in rows if r[0] == 1}.values())
+
+
+def least_agreeing(threshold: float) -> int:
+    """Sampled tokens in which a pair at the threshold agrees at least, but for one in 10**5."""
+    n = RUNS * DEPTH
+    return max(1, int(n * threshold - 5.5 * math.sqrt(n * threshold * (1 - threshold))))
+
+
+def _promising(threshold: float):
+    """(leaf, uid) of the members that agree with another one in enough sampled tokens; rows
+    (side, uid, tokens)."""
+    least = least_agreeing(threshold)
+
+    def run(batches):
+        out = {"leaf": [], "uid": []}
+        for (leaf, bi, bj), rows in pieces_of_work(batches, 3):
+            left, right = _sides(rows, bi == bj)
+            if not left or not right:
+                continue
+            tokens = [np.array([r[2] for r in side]) for side in (left, right)]
+            agreeing = np.zeros((len(left), len(right)), dtype=np.int16)
+            for i in range(tokens[0].shape[1]):
+                agreeing += tokens[0][:, i, None] == tokens[1][None, :, i]
+            hit = agreeing >= least
+            if bi == bj:
+                np.fill_diagonal(hit, False)
+            for side, chosen in ((left, hit.any(axis=1)), (right, hit.any(axis=0))):
+                for i in np.flatnonzero(chosen).tolist():
+                    out["leaf"].append(leaf)
+                    out["uid"].append(side[i][1])
+            if len(out["leaf"]) > 5000:
+                yield out
+                out = {"leaf": [], "uid": []}
+        yield out
+
+    return run
+
+
 def _compare(threshold: float):
-    """Links and a spanning forest of one piece of work; rows (side, run, uid, size, keys, set)."""
+    """Links and a spanning forest of one piece of work; rows (side, uid, run, size, keys, set)."""
 
     def run(batches):
         out = {"a": [], "b": [], "links": []}
         for (_, bi, bj), rows in pieces_of_work(batches, 3):
             same = bi == bj
-            left = [r for r in rows if r[0] == 0]
-            right = left if same else [r for r in rows if r[0] == 1]
+            left, right = _sides(rows, same)
             if not left or not right:
                 continue
             sets = [[np.frombuffer(r[5], dtype=np.uint64) for r in side] for side in (left, right)]
             hit = alike(*sets, threshold)
-            this = left[0][1]
+            this = left[0][2]
             if this:
                 keys = [np.array([r[4][:this] for r in side], dtype=np.int64) for side in (left, right)]
                 for k in range(this):
                     a, b = keys[0][:, k], keys[1][:, k]
                     hit &= ~((a[:, None] == b[None, :]) & (a != 0)[:, None])
-            ids = [[r[2] for r in side] for side in (left, right)]
+            ids = [[r[1] for r in side] for side in (left, right)]
             weights = [[r[3] for r in side] for side in (left, right)]
             links_l, links_r, forest = edges_and_counts(hit, *ids, *weights, same)
             for side, links in ((0, links_l), (1, links_r)):
@@ -185,6 +230,7 @@ def near_duplicates(
     classes = classes.withColumn("copy_of", F.col("first_row.doc_id"))
     classes = staged(classes, "classes")
     found, miss, batch_no, parts = classes.join(described, ["skey", "uid"]), 1.0, 0, []
+    tokens = found.select("uid", "tokens")
     while True:
         leaves, depth = _leaves(found.select("uid", "tokens"), batch_no * RUNS)
         parts.append(leaves)
@@ -207,18 +253,26 @@ def near_duplicates(
     keys = keys.select(
         "uid", F.transform(F.sequence(F.lit(0), F.lit(runs - 1)), lambda r: F.coalesce(F.try_element_at("at", r), F.lit(0).cast("bigint"))).alias("keys"),
     )
-    members = staged(members.join(kept, "leaf", "left_semi"), "chosen")
+    dealt = blocked(members.join(kept, "leaf").withColumn("spot", F.xxhash64("uid")), ["leaf"])
+    drawn = (
+        dealt.join(tokens, "uid")
+        .repartition("leaf", "bi", "bj")
+        .sortWithinPartitions("leaf", "bi", "bj")
+        .select("leaf", "bi", "bj", "side", "uid", "tokens")
+    )
+    promising = map_batches(drawn, _promising(threshold), "leaf bigint, uid bigint").distinct()
+    dealt = dealt.join(staged(promising, "promising"), ["leaf", "uid"])
+    work = F.collect_list(F.struct("leaf", "bi", "bj", "side", "run")).alias("work")
     people = staged(
-        members.select("uid").distinct().join(classes, "uid").join(keys, "uid"), "people"
+        dealt.groupBy("uid").agg(work).join(classes.select("uid", "skey", "size"), "uid").join(keys, "uid"),
+        "people",
     )
-    sets = staged(_sets(docs, described, people), "whole-sets")
     rows = (
-        blocked(members.withColumn("spot", F.xxhash64("uid")), ["leaf"])
-        .join(people, "uid")
-        .join(sets, "uid")
+        _sets(docs, described, people)
+        .select(F.explode("work").alias("w"), "uid", "size", "keys", "shingles")
+        .select("w.leaf", "w.bi", "w.bj", "w.side", "uid", "w.run", "size", "keys", "shingles")
         .repartition("leaf", "bi", "bj")
         .sortWithinPartitions("leaf", "bi", "bj")
-        .select("leaf", "bi", "bj", "side", "run", "uid", "size", "keys", "shingles")
     )
     compared = staged(
         map_batches(rows, _compare(threshold), "a bigint, b bigint, links bigint"), "links"
@@ -246,28 +300,21 @@ def near_duplicates(
 
 
 def _sets(docs: DataFrame, described: DataFrame, people: DataFrame) -> DataFrame:
-    """uid and the whole set of each class that is compared."""
-    who = people.select("uid").join(described, "uid").select(
-        "uid", F.col("doc_id").alias("_doc"), F.col("tkey").alias("_tkey"), F.col("skey").alias("_skey")
+    """The people with the whole set of each class; one whose row is repeated comes repeatedly."""
+    own = described.select(
+        "uid", F.col("doc_id").alias("_doc"), F.col("tkey").alias("_tkey")
     )
-    who = staged(who, "who")
+    who = staged(people.drop("skey").join(own, "uid"), "who")
 
-    def run(batches):
-        for batch in batches:
-            out = {"uid": [], "shingles": []}
-            for uid, skey, text in zip(*(c.to_pylist() for c in batch.columns)):
-                found = shingle_set(text)
-                if len(found) and set_key(found) == skey:
-                    out["uid"].append(uid)
-                    out["shingles"].append(found.tobytes())
-            yield out
+    @F.pandas_udf("binary")
+    def whole(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingle_set(t).tobytes() for t in texts], dtype=object)
 
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("_k"))
     texts = keyed.join(
         who, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_k") == F.col("_tkey"))
     )
-    found = map_batches(texts.select("uid", "_skey", "text"), run, "uid bigint, shingles binary")
-    return found.dropDuplicates(["uid"])
+    return texts.select("uid", "work", "size", "keys", whole("text").alias("shingles"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
