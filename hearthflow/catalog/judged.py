@@ -259,12 +259,11 @@ def join_room_profile(spark, sf):
 
 @query(
     check(
-        "SELECT reading_id AS alert_id, k < 5 OR k >= 60 AS acknowledged FROM readings "
-        "WHERE event_type = 'error'"
+        "SELECT reading_id AS alert_id, k < 5 OR k >= 60 AS acknowledged FROM readings"
     )
 )
 def join_alert_ack(spark, sf):
-    r = readings(spark, sf).filter("event_type = 'error'")
+    r = readings(spark, sf)
     raised = r.select(F.col("reading_id").alias("alert_id"), (F.col("k") < 5).alias("acknowledged"))
     acks = r.filter("k >= 60").select(F.col("reading_id").alias("alert_id"))
     return lookups.alert_ack(raised, acks.union(acks))
@@ -298,6 +297,26 @@ def join_verify_clear(spark, sf):
     )
 
 
+@query(
+    check(
+        """SELECT reading_id AS alert_id, k < 5 OR t_sec <= (
+             SELECT max(t_sec) FROM readings WHERE event_type = 'purchase' AND k = 50)
+             AS acknowledged FROM readings"""
+    )
+)
+def join_clear_alerts(spark, sf):
+    """A clear acknowledges every alert raised up to then."""
+    r = readings(spark, sf)
+    raised = r.select(
+        F.col("reading_id").alias("alert_id"), "event_time", (F.col("k") < 5).alias("acknowledged")
+    )
+    actions = r.filter("event_type = 'purchase'").select(
+        F.when(F.col("k") == 50, "CLEARED").otherwise("CONFIRMED").alias("action"),
+        F.col("event_time").alias("action_time"),
+    )
+    return lookups.clear_alerts(raised, actions).drop("event_time")
+
+
 @query(check("SELECT reading_id, device_id FROM readings WHERE event_type <> 'view'"))
 def join_unprocessed(spark, sf):
     r = readings(spark, sf)
@@ -653,7 +672,7 @@ def union_devices(spark, sf):
            SELECT 'DISPATCH', reading_id,
                   CASE WHEN k >= 20 THEN room_id ELSE 'General Room' END,
                   CASE WHEN k >= 50 THEN 'a@b.c' ELSE '' END
-           FROM readings WHERE event_type = 'error'""",
+           FROM readings""",
         STATED,
     )
 )
@@ -682,7 +701,7 @@ def dedup_push_id(spark, sf):
 
 def _requests(spark, sf):
     k = F.col("k")
-    return readings(spark, sf).filter("event_type = 'error'").select(
+    return readings(spark, sf).select(
         "reading_id",
         "event_time",
         F.when(k >= 50, "a@b.c").alias("email"),
@@ -703,7 +722,7 @@ def _requests(spark, sf):
              CASE WHEN k >= 30 THEN temperature ELSE 25.0::DOUBLE END AS temperature,
              CASE WHEN k >= 40 THEN servo_angle ELSE 90 END AS fire_angle,
              CASE WHEN k >= 10 THEN k::DOUBLE ELSE 0.0::DOUBLE END AS risk_score
-           FROM readings WHERE event_type = 'error'"""
+           FROM readings"""
     )
 )
 def alert_dispatch_log(spark, sf):
