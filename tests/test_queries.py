@@ -5,7 +5,7 @@ from compare import difference
 
 from hearthflow.catalog import ORACLES, QUERIES
 
-SLOW = {"ml_train_boosted", "champion_select"}  # 300 boosted trees; see test_learning
+SLOW = {"ml_train_boosted", "champion_select", "sink_model_bundle"}  # 300 boosted trees each
 
 
 @pytest.mark.parametrize("name", [q for q in QUERIES if q not in SLOW])
