@@ -168,7 +168,7 @@ _PARAGRAPH = (
 
 def _candidates(docs: DataFrame, repeated: DataFrame, chosen: np.ndarray) -> DataFrame:
     few = repeated.count() <= SENT
-    known = np.sort(repeated.toPandas()["key"].to_numpy(dtype=np.int64)) if few else None
+    known = np.sort(repeated.toArrow()["key"].to_numpy()) if few else None
 
     def run(batches):
         for batch in batches:
@@ -330,9 +330,9 @@ def without_repeats(docs: DataFrame, **tuning) -> DataFrame:
         spans, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_k") == F.col("_tkey")), "left"
     )
     bounds = F.expr(
-        "concat(array(struct(0L as a, coalesce(_spans[0].start, cast(length(text) as bigint)) as b)), "
+        "concat(array(struct(0L as a, coalesce(get(_spans, 0).start, cast(length(text) as bigint)) as b)), "
         "transform(coalesce(_spans, array()), (s, i) -> struct(s.start + s.length as a, "
-        "coalesce(_spans[i + 1].start, cast(length(text) as bigint)) as b)))"
+        "coalesce(get(_spans, i + 1).start, cast(length(text) as bigint)) as b)))"
     )
     kept = joined.withColumn("_bounds", bounds).withColumn(
         "text",
