@@ -18,16 +18,12 @@ from .intake import tree
 from .registry import query
 from .sql import DECIDED, ROOM_WALK, STATED, alert_walk, check
 
-MASTER_SCHEMA = ", ".join(
-    f"{c} {'string' if c in TEXT else 'int' if c in ('flame_digital', 'servo_angle') else 'double'}"
-    for TEXT in [
-        {
-            "timestamp", "device_id", "zone_id", "experiment_id", "fire_state", "ml_prediction",
-            "responder_status",
-        }
-    ]
-    for c in MASTER_COLUMNS
-)
+MASTER_TEXT = {
+    "timestamp", "device_id", "zone_id", "experiment_id", "fire_state", "ml_prediction",
+    "responder_status",
+}
+MASTER_TYPES = {"flame_digital": "int", "servo_angle": "int", **dict.fromkeys(MASTER_TEXT, "string")}
+MASTER_SCHEMA = ", ".join(f"{c} {MASTER_TYPES.get(c, 'double')}" for c in MASTER_COLUMNS)
 
 
 @query(

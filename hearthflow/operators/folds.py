@@ -25,6 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .rules import (
+    FIRE_GAS_Z,
+    FIRE_RATE,
+    FIRE_RISE,
+    FLAME_VOLTS,
+    PRE_FIRE_GAS_Z,
+    PRE_FIRE_RATE,
+    PRE_FIRE_RISE,
+)
 from .series import CHUNK, Series
 
 SEED = "seed"
@@ -94,7 +103,7 @@ class RoomBaselineWalk(Walk):
         t_rate = np.diff(temp, prepend=t0 if n else temp[0]) / gap
         g_rate = np.diff(gas, prepend=g0 if n else gas[0]) / gap
         f_rate = np.diff(flame_v, prepend=f0 if n else flame_v[0]) / gap
-        flame = ((lit == 1) | (flame_v < 1.6)).tolist()
+        flame = ((lit == 1) | (flame_v < FLAME_VOLTS)).tolist()
 
         alpha, keep = self.alpha, 1.0 - self.alpha
         temp_floor, gas_floor, sqrt = self.temp_floor, self.gas_floor, math.sqrt
@@ -117,8 +126,8 @@ class RoomBaselineWalk(Walk):
             # calmer verdicts it tests in between need a lower gas score or a smaller rise.
             if not (
                 burning
-                or (gz > 3.5 and (dt > 2.0 or rate > 0.1))
-                or (rate > 0.4 and dt > 4.5 and gz > 3.0)
+                or (gz > PRE_FIRE_GAS_Z and (dt > PRE_FIRE_RISE or rate > PRE_FIRE_RATE))
+                or (rate > FIRE_RATE and dt > FIRE_RISE and gz > FIRE_GAS_Z)
             ):
                 learned += 1
                 tm += alpha * dt

@@ -85,6 +85,12 @@ def flame_risk(
     )
 
 
+# The thresholds of a fire or pre-fire verdict, which also hold the room profile still.
+FLAME_VOLTS = 1.6
+FIRE_RATE, FIRE_RISE, FIRE_GAS_Z = 0.4, 4.5, 3.0
+PRE_FIRE_GAS_Z, PRE_FIRE_RISE, PRE_FIRE_RATE = 3.5, 2.0, 0.1
+
+
 def fusion_verdict(df: DataFrame) -> DataFrame:
     """Verdict, risk, fire flag and suppression reason from the walked room baseline.
 
@@ -96,7 +102,7 @@ def fusion_verdict(df: DataFrame) -> DataFrame:
     temp_z = rise / F.col("temp_std_before")
     gas_z = (F.col("gas_raw") - F.col("gas_mean_before")) / F.col("gas_std_before")
     damp = F.col("humidity") - F.col("humidity_mean_before")
-    flame = (F.col("flame_digital") == 1) | (F.col("flame_voltage") < 1.6)
+    flame = (F.col("flame_digital") == 1) | (F.col("flame_voltage") < FLAME_VOLTS)
     df = df.withColumns(
         {
             "temp_delta": rise,
@@ -110,11 +116,11 @@ def fusion_verdict(df: DataFrame) -> DataFrame:
     rise, temp_z, gas_z = F.col("temp_delta"), F.col("temp_z"), F.col("gas_z")
     damp, flame = F.col("humidity_delta"), F.col("flame_seen")
     calm_risk = clamp(temp_z * 5.0 + gas_z * 3.0, 0.0, 30.0)
-    # (condition, verdict, risk); the first that holds decides.
+    # (condition, verdict, risk), fixed values; the first that holds decides.
     chain = [
         (flame & ((rise > 2.0) | (rate > 0.15) | (gas_z > 2.0)), "ACTUAL_FIRE", 98.0),
         (flame, "ACTUAL_FIRE", 92.0),
-        ((rate > 0.4) & (rise > 4.5) & (gas_z > 3.0), "ACTUAL_FIRE", 88.0),
+        ((rate > FIRE_RATE) & (rise > FIRE_RISE) & (gas_z > FIRE_GAS_Z), "ACTUAL_FIRE", 88.0),
         ((temp > 28.0) & (gas_z < 2.0) & (F.abs(rate) < 0.08), "NORMAL_SUNNY_DAY", 5.0),
         ((damp > 15.0) & (gas_z < 1.5), "FALSE_ALARM_STEAM", 12.0),
         (
@@ -122,7 +128,11 @@ def fusion_verdict(df: DataFrame) -> DataFrame:
             "FALSE_ALARM_COOKING_GAS",
             25.0,
         ),
-        ((gas_z > 3.5) & ((rise > 2.0) | (rate > 0.1)), "PRE_FIRE_WARNING", 65.0),
+        (
+            (gas_z > PRE_FIRE_GAS_Z) & ((rise > PRE_FIRE_RISE) | (rate > PRE_FIRE_RATE)),
+            "PRE_FIRE_WARNING",
+            65.0,
+        ),
     ]
     risk = F
     for condition, _, points in chain:

@@ -2,35 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
-READING = T.StructType(
-    [
-        T.StructField("reading_id", T.StringType()),
-        T.StructField("event_time", T.TimestampType()),
-        T.StructField("device_id", T.StringType()),
-        T.StructField("room_id", T.StringType()),
-        T.StructField("experiment_id", T.StringType()),
-        T.StructField("temperature", T.DoubleType()),
-        T.StructField("humidity", T.DoubleType()),
-        T.StructField("pressure", T.DoubleType()),
-        T.StructField("gas_raw", T.DoubleType()),
-        T.StructField("gas_voltage", T.DoubleType()),
-        T.StructField("smoke_raw", T.DoubleType()),
-        T.StructField("flame_raw", T.DoubleType()),
-        T.StructField("flame_voltage", T.DoubleType()),
-        T.StructField("flame_digital", T.IntegerType()),
-        T.StructField("servo_angle", T.IntegerType()),
-        T.StructField("edge_state", T.StringType()),
-        T.StructField("risk_score", T.DoubleType()),
-        T.StructField("ml_prediction", T.StringType()),
-        T.StructField("ml_confidence", T.DoubleType()),
-        T.StructField("responder_status", T.StringType()),
-        T.StructField("sensors_valid", T.BooleanType()),
-        T.StructField("uptime_ms", T.LongType()),
-    ]
-)
-
 # The names each channel goes by on the wire, canonical name first.
 ALIASES: dict[str, tuple[str, ...]] = {
     "reading_id": ("reading_id", "push_id"),
