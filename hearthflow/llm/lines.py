@@ -30,7 +30,10 @@ FACTOR = 1_000_003
 
 
 def chunked(docs: DataFrame) -> DataFrame:
-    """The documents with `_key`, a hash of the text, and `_chunks`, an array of (no, lines, body)."""
+    """The documents with `_key`, a hash of the text, and `_chunks`, an array of (no, lines, body).
+
+    Explode `_chunks` with explode_outer: for explode, Spark infers a filter on the array and pushes
+    it below the steps here, where it would work out all of them anew for each line."""
     hashed = docs.withColumns({"_key": F.xxhash64("text"), "_lines": F.split("text", "\n", -1)})
     hashed = hashed.withColumn(
         "_hashes",
@@ -58,9 +61,9 @@ def _several(docs: DataFrame) -> DataFrame:
     """One row per chunk of several lines: _doc, _key, no, hash, body."""
     inside = F.filter("_chunks", lambda c: c["lines"] >= LEAST_LINES)
     rows = chunked(docs.select("doc_id", "text")).select(
-        F.col("doc_id").alias("_doc"), "_key", F.explode(inside).alias("_chunk")
+        F.col("doc_id").alias("_doc"), "_key", F.explode_outer(inside).alias("_chunk")
     )
-    return rows.select(
+    return rows.where("_chunk is not null").select(
         "_doc", "_key", F.col("_chunk.no").alias("no"),
         F.xxhash64("_chunk.body").alias("hash"), F.col("_chunk.body").alias("body"),
     )
@@ -84,7 +87,8 @@ def removals(docs: DataFrame) -> DataFrame:
     chosen = (
         chunked(texts)
         .withColumn("_chunks", F.filter("_chunks", lambda c: F.array_contains("_nos", c["no"])))
-        .select(F.col("doc_id").alias("_doc"), "_key", F.explode("_chunks").alias("_chunk"))
+        .select(F.col("doc_id").alias("_doc"), "_key", F.explode_outer("_chunks").alias("_chunk"))
+        .where("_chunk is not null")
         .select("_doc", "_key", "_chunk.no", "_chunk.body", F.xxhash64("_chunk.body").alias("hash"))
     )
     chosen = staged(chosen.distinct(), "chunk-texts")
