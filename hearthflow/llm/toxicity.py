@@ -1,40 +1,53 @@
-"""Toxicity by class-conditional Kneser-Ney models of characters.
+"""Toxicity by class-conditional Kneser-Ney models of spelling and of words.
 
-Texts are folded to 32 symbols (letters, one each for blanks, digits and other signs, three for
-letters outside a-z). All four-symbol grams of all labelled training documents are counted per
-class by Spark. For each class the models interpolate its own four-gram counts with a back-off
-distribution that both classes share, made of the continuation counts of the pooled grams, down
-to single symbols; so expressions that are rare in a class get the same probability in both and
-speak for neither.
+Both models exist once per class, toxic and ordinary, with absolute discounts, and both back off
+to counts that the classes share, so that expressions that are rare in a class get the same
+probability in both and speak for neither.
 
-What a document gets is the log-likelihood ratio per symbol, toxic against ordinary: of the whole
-text, and of its most toxic passage (any stretch of PASSAGE symbols), because a slur or two in a
-long text hardly move its mean. A logistic curve over these two, fitted on documents that were
-not counted, turns them into a probability.
+* Spelling: four-symbol grams over 32 folded symbols (letters, one each for blanks, digits and other
+  signs, three for letters outside a-z). Each class interpolates its own four-gram counts with the
+  continuation counts of the pooled grams, down to single symbols.
+* Words: lower-case words, hashed into 2**WORD_BITS buckets. Each class interpolates its own counts
+  with the pooled continuation counts, where a context is a document: in how many a word occurs.
+
+All labelled training documents are counted, by Spark. What a document gets are the log-likelihood
+ratios, toxic against ordinary: per symbol and per word of the whole text, those of its most toxic
+passages, because a slur or two in a long text hardly move its mean, and the ratio of its plainly
+toxic words, summed up, beside the number of its words, both on a logarithmic scale. A logistic curve over these, fitted on documents that
+were not counted, turns them into a probability.
 
 Of the rows with labels, remainder 0 of crc32(doc_id) modulo 5 is held out, remainder 4 fits the
 curve (at most CALIBRATION_ROWS rows of it, those with the smallest hashes), the others are all
-counted. The table of ratios has 32**4 numbers whatever the size of the corpus, which bounds what
-is collected and broadcast.
+counted. The tables of ratios have a fixed number of entries whatever the size of the corpus, which
+bounds what is collected and broadcast.
 
-Null and empty texts have ratio 0 and get the score of the curve there. Null doc_ids are scored and
-never learned from. A document with several labels is toxic if one says so; null labels are left
-out. Repeated rows are scored each. If one class has no training rows, all ratios are 0.
+Null and empty texts have ratios 0 and get the score of the curve there. Null doc_ids are scored
+and never learned from. A document with several labels is toxic if one says so; null labels are
+left out. Repeated rows are scored each. If one class has no training rows, all ratios are 0.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import held_out, map_batches, table
+from .similar import word_hashes
 
 SYMBOLS = 32
 ORDER = 4
 PASSAGE = 48
+WORD_BITS = 21
+WORD_PASSAGE = 12
+#: Ratio of a word from which it is plainly toxic.
+PLAIN = 2.5
 CALIBRATION_ROWS = 50_000
+FEATURES = ("mean", "passage", "word_mean", "word_passage", "plain", "long")
 _LOOKUP = None
+_WORD = re.compile(r"\w+")
 
 
 def _lookup() -> np.ndarray:
@@ -67,24 +80,37 @@ def grams(text: str) -> np.ndarray:
     return out
 
 
-def gram_counts(labelled: DataFrame) -> DataFrame:
-    """gram, toxic, n of documents (text, toxic); summed up within each task first."""
+def buckets(text: str) -> np.ndarray:
+    """The bucket of each word."""
+    mask = np.uint64((1 << WORD_BITS) - 1)
+    return (word_hashes(_WORD.findall(text.lower())) & mask).astype(np.int64)
+
 
-    def count(batches):
-        sums = {}
+def counts(labelled: DataFrame) -> DataFrame:
+    """kind (0: gram, 1: word), code, toxic and ordinary occurrences, and documents that hold it,
+    of documents (text, toxic); summed up within each task first."""
+
+    def run(batches):
+        sizes = (SYMBOLS**ORDER, 1 << WORD_BITS)
+        sums = [np.zeros((3, n), dtype=np.int32) for n in sizes]
         for batch in batches:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if text:
-                    if toxic not in sums:
-                        sums[toxic] = np.zeros(SYMBOLS**ORDER, dtype=np.int64)
-                    found, n = np.unique(grams(text), return_counts=True)
-                    sums[toxic][found] += n
-        for toxic, sum_ in sums.items():
-            found = np.flatnonzero(sum_)
-            yield {"gram": found, "toxic": np.full(len(found), toxic), "n": sum_[found]}
+                for total, codes in zip(sums, (grams(text), buckets(text)) if text else ()):
+                    found, n = np.unique(codes, return_counts=True)
+                    total[1 - toxic, found] += n.astype(np.int32)
+                    total[2, found] += 1
+        for kind, total in enumerate(sums):
+            found = np.flatnonzero(total[2])
+            yield {
+                "kind": np.full(len(found), kind), "code": found, "toxic": total[0, found],
+                "ordinary": total[1, found], "held": total[2, found],
+            }
 
-    parts = map_batches(labelled.select("text", "toxic"), count, "gram bigint, toxic int, n bigint")
-    return parts.groupBy("gram", "toxic").agg(F.sum("n").alias("n"))
+    schema = "kind int, code bigint, toxic bigint, ordinary bigint, held bigint"
+    parts = map_batches(labelled.select("text", "toxic"), run, schema)
+    return parts.groupBy("kind", "code").agg(
+        *[F.sum(c).alias(c) for c in ("toxic", "ordinary", "held")]
+    )
 
 
 def _discount(counts: np.ndarray) -> float:
@@ -128,17 +154,40 @@ def _first(counts: np.ndarray) -> np.ndarray:
     return np.maximum(counts - discount, 0) / total + rest / SYMBOLS
 
 
-def described(text: str | None, table_: np.ndarray) -> tuple[float, float]:
-    """Ratio per symbol of the whole text and of its most toxic passage."""
-    if not text:
-        return 0.0, 0.0
-    sums = np.cumsum(table_[grams(text)], dtype=np.float64)
-    if len(sums) == 0:
+def word_ratios(toxic: np.ndarray, ordinary: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """log P(word | toxic) - log P(word | ordinary) of every bucket."""
+    shared = _backed_off(held, np.full(len(held), 1.0 / len(held)))
+    a, b = _backed_off(toxic, shared), _backed_off(ordinary, shared)
+    return (np.log(a) - np.log(b)).astype(np.float32)
+
+
+def _backed_off(counts_: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    discount, total = _discount(counts_), max(1, counts_.sum())
+    rest = discount * np.count_nonzero(counts_) / total if counts_.any() else 1.0
+    return np.maximum(counts_ - discount, 0) / total + rest * shared
+
+
+def _of_passages(ratios_: np.ndarray, long: int) -> tuple[float, float]:
+    """Mean, and the sum over the most toxic passage by its full length."""
+    if not len(ratios_):
         return 0.0, 0.0
-    if len(sums) <= PASSAGE:
-        return sums[-1] / len(sums), sums[-1] / PASSAGE
-    passage = np.max(sums[PASSAGE:] - sums[:-PASSAGE])
-    return sums[-1] / len(sums), max(passage, sums[PASSAGE - 1]) / PASSAGE
+    sums = np.cumsum(ratios_, dtype=np.float64)
+    best = sums[min(long, len(sums)) - 1]
+    if len(sums) > long:
+        best = max(best, np.max(sums[long:] - sums[:-long]))
+    return sums[-1] / len(sums), best / long
+
+
+def described(text: str | None, model: tuple[np.ndarray, np.ndarray]) -> tuple[float, ...]:
+    """The FEATURES of a text."""
+    if not text:
+        return (0.0,) * len(FEATURES)
+    words = model[1][buckets(text)]
+    plain = np.log1p(float(words[words > PLAIN].sum()))
+    return (
+        *_of_passages(model[0][grams(text)], PASSAGE), *_of_passages(words, WORD_PASSAGE), plain,
+        float(np.log1p(len(words))),
+    )
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -156,60 +205,56 @@ def fit_curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The table of ratios and the weights of the curve."""
+def fit(docs: DataFrame, labels: DataFrame) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
+    """The tables of ratios and the weights of the curve."""
     usable = labels.where("toxic is not null and doc_id is not null")
     marks = usable.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     fold = F.crc32(F.col("doc_id").cast("string")) % 5
     known = (
         docs.select("doc_id", "text").where(~held_out()).join(marks.where(~held_out()), "doc_id")
     )
-    counted = gram_counts(known.where(fold != 4)).toPandas()
-    sums = np.zeros((2, SYMBOLS**ORDER), dtype=np.int64)
-    sums[counted["toxic"].to_numpy(dtype=int), counted["gram"].to_numpy(dtype=int)] = counted["n"]
-    if not sums.any(axis=1).all():
-        return np.zeros(SYMBOLS**ORDER, dtype=np.float32), np.array([0.0, 0.0, -1.0])
-    found = ratios(sums[1], sums[0])
-    sample = (
-        known.where(fold == 4)
-        .orderBy(F.xxhash64("doc_id"))
-        .limit(CALIBRATION_ROWS)
-    )
-    rows = features(sample, found, "toxic").toPandas()
-    if rows["toxic"].nunique() < 2:
-        return found, np.array([0.0, 20.0, -4.0])
-    return found, fit_curve(
-        rows[["mean", "passage"]].to_numpy(), rows["toxic"].to_numpy(dtype=float)
-    )
-
-
-def features(docs: DataFrame, ratios_: np.ndarray, carried: str) -> DataFrame:
-    """mean, passage and one whole-number column carried along."""
+    rows = counts(known.where(fold != 4)).toArrow().to_pandas()
+    sums = [np.zeros((3, n), dtype=np.int64) for n in (SYMBOLS**ORDER, 1 << WORD_BITS)]
+    for kind, total in enumerate(sums):
+        mine = rows[rows["kind"] == kind]
+        total[:, mine["code"].to_numpy(dtype=int)] = mine[["toxic", "ordinary", "held"]].to_numpy().T
+    curve = np.array([0.0, 0.0, 0.0, 0.0, 1.0, 0.0, -2.0])
+    if not sums[0][:2].any(axis=1).all():
+        return tuple(np.zeros(t.shape[1], dtype=np.float32) for t in sums), curve
+    model = ratios(*sums[0][:2]), word_ratios(*sums[1])
+    sample = known.where(fold == 4).orderBy(F.xxhash64("doc_id")).limit(CALIBRATION_ROWS)
+    found = features(sample, model, "toxic").toArrow().to_pandas()
+    if found["toxic"].nunique() == 2:
+        curve = fit_curve(found[list(FEATURES)].to_numpy(), found["toxic"].to_numpy(dtype=float))
+    return model, curve
+
+
+def features(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], carried: str) -> DataFrame:
+    """The features and one whole-number column carried along."""
 
     def run(batches):
         for batch in batches:
-            found = [described(t, ratios_) for t in batch.column(1).to_pylist()]
-            yield {
-                carried: batch.column(0), "mean": [f[0] for f in found],
-                "passage": [f[1] for f in found],
-            }
+            found = [described(t, model) for t in batch.column(1).to_pylist()]
+            columns = zip(*found) if found else [[]] * len(FEATURES)
+            yield {carried: batch.column(0), **dict(zip(FEATURES, columns))}
 
     source = docs.select(F.col(carried).cast("bigint"), "text")
-    return map_batches(source, run, f"{carried} bigint, mean double, passage double")
+    schema = f"{carried} bigint, " + ", ".join(f"{f} double" for f in FEATURES)
+    return map_batches(source, run, schema)
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted, and the two ratios the score is made of."""
-    found, w = fit(docs, labels)
-    rows = features(docs, found, "doc_id")
-    z = F.col("mean") * float(w[0]) + F.col("passage") * float(w[1]) + float(w[2])
-    return rows.select(
+    """doc_id, held_out, score, predicted, and the features that the score is made of."""
+    model, curve = fit(docs, labels)
+    z = F.lit(float(curve[-1]))
+    for name, weight in zip(FEATURES, curve):
+        z = z + F.col(name) * float(weight)
+    return features(docs, model, "doc_id").select(
         "doc_id",
         F.coalesce(held_out(), F.lit(False)).alias("held_out"),
         (1 / (1 + F.exp(-z))).alias("score"),
         (z >= 0).cast("int").alias("predicted"),
-        F.col("mean").alias("mean_ratio"),
-        F.col("passage").alias("passage_ratio"),
+        *FEATURES,
     )
 
 
