@@ -7,7 +7,9 @@ the text, then by place) are removed. Chunks are first matched by a 64-bit hash;
 the repeated hashes are then compared byte by byte, by grouping on the text itself.
 
 Counts combine within each task before they are shuffled, so that a chunk that a third of all rows
-share costs one row per task; joins on hot chunks carry no order and may be split by Spark.
+share costs one row per task; joins on hot chunks carry no order and may be split by Spark. The
+texts are shuffled twice, by document, at any size: lists of chunks grow with the corpus, so they
+are never broadcast.
 
 Null texts stay null, empty texts stay empty; a text whose chunks are all removed becomes empty.
 Rows that agree in doc_id and text are one document: they are treated alike, and do not count
@@ -82,7 +84,7 @@ def removals(docs: DataFrame) -> DataFrame:
     # the texts of those chunks only
     texts = docs.select("doc_id", "text").withColumn("_k", F.xxhash64("text"))
     texts = texts.join(
-        wanted, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_k") == F.col("_key"))
+        wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_k") == F.col("_key"))
     ).select("doc_id", "text", "_nos")
     chosen = (
         chunked(texts)
@@ -106,7 +108,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     gone = staged(removals(docs), "removals")
     keyed = docs.withColumn("_k", F.xxhash64("text"))
     joined = keyed.join(
-        gone, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_k") == F.col("_key")), "left"
+        gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_k") == F.col("_key")), "left"
     ).drop("_doc", "_key", "_k")
     parts = chunked(joined)
     stay = F.filter("_chunks", lambda c: ~F.array_contains("_nos", c["no"]))
