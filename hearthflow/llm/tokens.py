@@ -25,8 +25,8 @@ _BY_WORD = re.compile(rf"\S*'\S*|[{_L}]+|[^\s{_L}]+")
 _BY_BYTE = re.compile(rf" ?\S*'\S*| ?[{_L}]+| ?[^\s{_L}]+|\s+(?!\S)|\s+")
 #: Texts where white space comes in runs with a space are not simply cut at spaces.
 _RUNS = re.compile(r" \s|[\t\n\r] | $")
-#: Stretches a worker keeps; it starts anew beyond, which bounds its memory.
-KEPT = 600_000
+#: Stretches of a generation that a worker keeps; older ones go unless they are used again.
+KEPT = 300_000
 _ENCODERS: dict[int, "Encoder"] = {}
 
 
@@ -44,6 +44,24 @@ def encoder(definition: str) -> "Encoder":
     return _ENCODERS[key]
 
 
+class Kept(dict):
+    """Two generations of values: what is found in the older one moves to the younger one."""
+
+    def __init__(self, older: dict):
+        super().__init__()
+        self.older = older
+
+    def __missing__(self, key):
+        value = self[key] = self.older[key]
+        return value
+
+    def lacks(self, key) -> bool:
+        return key not in self and key not in self.older
+
+    def aged(self) -> "Kept":
+        return Kept(dict(self)) if len(self) > KEPT else self
+
+
 class Encoder:
     """Ids of texts; `words` keeps those of stretches, `chunks` those between two spaces."""
 
@@ -59,8 +77,7 @@ class Encoder:
         self.edge = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         for token, number in vocabulary.items():
             self.edge[number] = token.endswith("</w>") if self.by_word else token[0] == "\u0120"
-        self.words: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
+        self.words, self.chunks = Kept({}), Kept({})
 
     def whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
@@ -84,9 +101,8 @@ class Encoder:
         try:
             return first + b"".join([chunks[p] for p in parts])
         except KeyError:
-            if len(chunks) > KEPT:
-                chunks.clear()
-            new = [p for p in dict.fromkeys(parts) if p not in chunks]
+            chunks = self.chunks = chunks.aged()
+            new = [p for p in dict.fromkeys(parts) if chunks.lacks(p)]
             cuts = [self.cut(before + p) for p in new]
             self._learn([w for c in cuts for w in c])
             for p, c in zip(new, cuts):
@@ -99,9 +115,8 @@ class Encoder:
 
     def _learn(self, parts: list[str]) -> None:
         """Encodes new stretches: words of letters all in one call, the others one by one."""
-        if len(self.words) > KEPT:
-            self.words.clear()
-        new = [w for w in dict.fromkeys(parts) if w not in self.words]
+        self.words = self.words.aged()
+        new = [w for w in dict.fromkeys(parts) if self.words.lacks(w)]
         if self.by_word:
             side_by_side = [w for w in new if w.isalpha()]
         else:
@@ -119,7 +134,7 @@ class Encoder:
             for w, at, end in zip(side_by_side, cuts, cuts[1:]):
                 self.words[w] = ids[at:end].tobytes()
         for w in new:
-            if w not in self.words:
+            if w not in self.words:  # a word alone, or with other signs than letters
                 self.words[w] = self.whole(w)
 
 

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import staging_path
+from ..session import staged, staging_path
 from .common import map_batches, offsets, table
 from .tokens import encoder, tokenizer_json
 
@@ -85,19 +85,20 @@ class Shard:
 
     @classmethod
     def build(cls, doc_ids: list, lengths: list[int], ids: np.ndarray) -> "Shard":
-        alphabet, codes = np.unique(ids, return_inverse=True) if len(ids) else (ids, ids)
-        if len(ids) and int(ids.max()) < 1 << 20:  # the same, without a sort
+        if len(ids) and int(ids.max()) < 1 << 20:
             seen = np.zeros(int(ids.max()) + 1, dtype=bool)
             seen[ids] = True
             alphabet = np.flatnonzero(seen).astype("<u4")
             codes = (np.cumsum(seen) - 1).astype(np.uint32)[ids]
+        else:
+            alphabet, codes = np.unique(ids, return_inverse=True)
         level = codes.astype(np.uint16 if len(alphabet) <= 1 << 16 else np.uint32)
         planes = []
         for shift in reversed(range(max(1, (len(alphabet) - 1).bit_length()))):
             bit = (level >> level.dtype.type(shift)).astype(np.uint8) & 1
             planes.append(Plane(np.packbits(bit), len(level)))
             one = bit.view(bool)
-            level = np.concatenate([level[~one], level[one]])
+            level = np.concatenate([level[np.flatnonzero(~one)], level[np.flatnonzero(one)]])
         return cls(doc_ids, np.asarray(lengths, dtype="<i8"), alphabet, planes, len(ids))
 
     def to_bytes(self) -> bytes:
@@ -179,8 +180,8 @@ class Shard:
         for depth, plane in reversed(list(enumerate(self.planes))):
             one = plane.bits()
             above = np.empty_like(level)
-            above[~one] = level[: plane.zeros]
-            above[one] = level[plane.zeros :] | kind(1 << (len(self.planes) - 1 - depth))
+            above[np.flatnonzero(~one)] = level[: plane.zeros]
+            above[np.flatnonzero(one)] = level[plane.zeros :] | kind(1 << (len(self.planes) - 1 - depth))
             level = above
         return self.alphabet[level] if self.n else self.alphabet[:0]
 
@@ -253,6 +254,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     begins = shards.select(
         "part", "seq", (F.sum("tokens").over(in_order) - F.col("tokens")).alias("begin")
     )
+    # written out, so that its size is known when the join is planned
+    begins = staged(begins, "shard-begins")
     found = map_batches(
         shards.select("part", "seq", "shard"), unpack,
         "part int, seq int, doc_id bigint, within bigint, n_tokens bigint, ids binary",
