@@ -11,7 +11,8 @@ driver is one row per feature and bin.
 In every round each view gives its confident labels (calibrated probability at least CONFIDENT, or
 at most 1 - CONFIDENT) to documents without a label, and the other view is counted anew with them.
 True labels always stay. Calibration uses true labels only. The final score is the sum of the two
-calibrated log-odds less that of the prior.
+calibrated log-odds less that of the prior; the evidence of very short texts, of which most
+features say little, is drawn towards the prior.
 
 Null texts are described as empty. Null languages and sources are a bin of their own. Null labels
 are left out; of several labels of a document the mean decides, a tie is good. Without any labels
@@ -44,6 +45,8 @@ NAMED = ("lang", "source")
 BUCKETS = 64
 SHARES = [0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.65, 0.8, 0.9, 0.95, 0.98]
 STEPS = 60
+#: Characters at which the evidence of a text counts half.
+SHORT = 40
 _PLAIN_SIGNS = frozenset(b".,;:'\"!?-()| \n\t\r")
 
 
@@ -118,7 +121,9 @@ class Model:
     def score(self, described_: str, lang: str = "lang", source: str = "source") -> Column:
         """Probability that a document with these features is good."""
         text, meta = _bins(self.cuts, described_, lang, source)
-        z = f"{self.text.logit(text)} + {self.meta.logit(meta)} - {self.prior!r}D"
+        evidence = f"{self.text.logit(text)} + {self.meta.logit(meta)} - 2 * {self.prior!r}D"
+        chars = f"(exp({described_}[{len(TEXT)}]) - 1)"
+        z = f"{self.prior!r}D + ({evidence}) * {chars} / ({chars} + {SHORT})"
         return F.expr(f"1 / (1 + exp(-({z})))")
 
 
