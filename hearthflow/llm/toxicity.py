@@ -210,10 +210,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[tuple[np.ndarray, np.ndarra
     usable = labels.where("toxic is not null and doc_id is not null")
     marks = usable.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     fold = F.crc32(F.col("doc_id").cast("string")) % 5
+    counted = ~held_out() & (fold != 4)
+    # labels grow with the corpus, so this join is never a broadcast
     known = (
-        docs.select("doc_id", "text").where(~held_out()).join(marks.where(~held_out()), "doc_id")
+        docs.select("doc_id", "text")
+        .where(counted)
+        .join(marks.where(counted).hint("merge"), "doc_id")
     )
-    rows = counts(known.where(fold != 4)).toArrow().to_pandas()
+    rows = counts(known).toArrow().to_pandas()
     sums = [np.zeros((3, n), dtype=np.int64) for n in (SYMBOLS**ORDER, 1 << WORD_BITS)]
     for kind, total in enumerate(sums):
         mine = rows[rows["kind"] == kind]
@@ -222,7 +226,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[tuple[np.ndarray, np.ndarra
     if not sums[0][:2].any(axis=1).all():
         return tuple(np.zeros(t.shape[1], dtype=np.float32) for t in sums), curve
     model = ratios(*sums[0][:2]), word_ratios(*sums[1])
-    sample = known.where(fold == 4).orderBy(F.xxhash64("doc_id")).limit(CALIBRATION_ROWS)
+    # at most CALIBRATION_ROWS ids and labels
+    chosen = marks.where(fold == 4).orderBy(F.xxhash64("doc_id")).limit(CALIBRATION_ROWS)
+    sample = docs.select("doc_id", "text").where(fold == 4).join(F.broadcast(chosen), "doc_id")
     found = features(sample, model, "toxic").toArrow().to_pandas()
     if found["toxic"].nunique() == 2:
         curve = fit_curve(found[list(FEATURES)].to_numpy(), found["toxic"].to_numpy(dtype=float))
