@@ -71,9 +71,9 @@ def marked(spark, documents):
     """Ordinary texts, of which some hold slurs; odd documents without labels."""
     rng = random.Random(3)
     slurs = ["zoqkwux", "vyxxuq", "wuzzyk"]
-    rows, labels = [], []
+    rows, labels, vocabulary = [], [], words(400, 1)
     for i in range(700):
-        w, toxic = words(rng.randint(20, 200), i), int(i % 4 == 0)
+        w, toxic = rng.choices(vocabulary, k=rng.randint(20, 200)), int(i % 4 == 0)
         if toxic:
             for _ in range(3):
                 w.insert(rng.randint(0, len(w)), rng.choice(slurs))
