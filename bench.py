@@ -44,6 +44,11 @@ HEADLINE = (
     "join_room_profile",
     "sink_master_csv",
     "stream_room_baseline",
+    "stream_alert_state",
+    "stream_state_ttl",
+    "stream_dedup",
+    "stream_watchdog",
+    "ml_train_forest",
 )
 
 
