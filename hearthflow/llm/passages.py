@@ -10,9 +10,10 @@ the components of what is similar are the clusters. A bucket with many classes i
 pairs of blocks.
 
 Neighbouring paragraphs of a document that belong to clusters spread over two or more documents
-form a run, over paragraphs too short to have shingles as well. Runs of at least LEAST_WORDS words
-are returned. In each cluster the first paragraph (by doc_id, hash of the text, place) is the one
-to keep; a run is kept if all its paragraphs are.
+form a run, over paragraphs too short to have shingles as well. In each cluster the first paragraph
+(by doc_id, hash of the text, place) is the one to keep. Runs of at least LEAST_WORDS words are
+returned, in parts where the paragraphs to keep and the others meet (the parts may be shorter), so
+that what goes is never the first of its cluster.
 
 The band keys that occur once are weeded out by a count that is summed up within each task first.
 The repeated ones filter the paragraphs, as an array sent to the tasks if they are at most SENT
@@ -300,23 +301,30 @@ def clusters(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECA
 
 
 def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, **tuning) -> DataFrame:
-    """One row per run: doc_id, tkey (hash of the text), start and length in characters, words,
-    paragraphs, the clusters of its paragraphs, and keep."""
+    """One row per part of a run whose paragraphs are all kept or all not: doc_id, tkey (hash of the
+    text), start and length in characters, words, paragraphs, the clusters of its paragraphs, and
+    keep. The least number of words is that of the whole run."""
     inside = Window.partitionBy("doc_id", "tkey").orderBy("no")
-    runs = (
+    alike_ = Window.partitionBy("doc_id", "tkey", "keep").orderBy("no")
+    run = Window.partitionBy("doc_id", "tkey", "_gap")
+    parts = (
         clusters(docs, **tuning)
         .withColumn("_gap", F.col("no") - F.row_number().over(inside))
-        .groupBy("doc_id", "tkey", "_gap")
+        .withColumn("_part", F.col("no") - F.row_number().over(alike_))
+        .withColumn("_run", F.max(F.col("word") + F.col("words")).over(run) - F.min("word").over(run))
+        .where(F.col("_run") >= least_words)
+        .groupBy("doc_id", "tkey", "_gap", "keep", "_part")
         .agg(
             F.min("start").alias("start"),
             (F.max(F.col("start") + F.col("length")) - F.min("start")).alias("length"),
             (F.max(F.col("word") + F.col("words")) - F.min("word")).alias("words"),
             F.count("*").alias("paragraphs"),
             F.sort_array(F.collect_set("cluster")).alias("clusters"),
-            F.min("keep").alias("keep"),
         )
     )
-    return runs.where(F.col("words") >= least_words).drop("_gap")
+    return parts.select(
+        "doc_id", "tkey", "start", "length", "words", "paragraphs", "clusters", "keep"
+    )
 
 
 def without_repeats(docs: DataFrame, **tuning) -> DataFrame:

@@ -110,3 +110,18 @@ def test_no_documents(documents):
 def test_bands_are_tuned():
     assert passages.bands(0.8, 0.99) == 3
     assert passages.bands(0.8, 0.99, rows=2) == 5
+
+
+def test_a_common_sentence_does_not_take_the_rest_of_the_original_along(documents):
+    common = "every page of this site ends with the same old notice"
+    one, two = prose(40, 61), prose(40, 62)
+    text = f"{one}\n{common}.\n{two}"
+    rows = [(1, f"{prose(24, 63)}\n{common}.\n{prose(24, 64)}"), (2, text), (3, text)]
+    frame = documents(rows)
+    out = {r["doc_id"]: r["text"] for r in passages.without_repeats(frame).collect()}
+    left = {u[0] for t in out.values() for u in units(t)}
+    assert {u[0] for _, t in rows for u in units(t)} == left
+    assert out[1] == rows[0][1] and one in out[2] and two in out[2] and common not in out[2]
+    assert len(out[3]) < 20
+    parts = sorted((r["doc_id"], r["start"], r["keep"]) for r in passages.repeated_passages(frame).collect())
+    assert [(d, k) for d, _, k in parts] == [(2, True), (2, False), (2, True), (3, False)]
