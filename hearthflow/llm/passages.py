@@ -69,8 +69,12 @@ def _mixed(x: np.ndarray, salt) -> np.ndarray:
 
 
 def _folded(text: str) -> str:
+    """Lower case of the same length: U+0130, whose lower case is longer, stays."""
     small = text.lower()
-    return small if len(small) == len(text) else text
+    if len(small) != len(text):
+        small = text.replace("\u0130", "I").lower()
+        small = "".join(c if c == "\u0130" else s for c, s in zip(text, small))
+    return small
 
 
 def paragraphs(texts: list[str | None]) -> dict[str, np.ndarray]:

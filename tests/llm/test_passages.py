@@ -125,3 +125,13 @@ def test_a_common_sentence_does_not_take_the_rest_of_the_original_along(document
     assert len(out[3]) < 20
     parts = sorted((r["doc_id"], r["start"], r["keep"]) for r in passages.repeated_passages(frame).collect())
     assert [(d, k) for d, _, k in parts] == [(2, True), (2, False), (2, True), (3, False)]
+
+
+def test_a_letter_that_grows_in_lower_case_leaves_the_others_folded(documents):
+    text = prose(80, 71)
+    rows = [(1, text), (2, text.title()), (3, f"\u0130 {prose(31, 72)}.\n" + text.title())]
+    found = passages.repeated_passages(documents(rows)).collect()
+    assert sorted((r["doc_id"], r["words"], r["keep"]) for r in found) == [
+        (1, 80, True), (2, 80, False), (3, 80, False),
+    ]
+    assert passages._folded("\u0130 \u0130A") == "\u0130 \u0130a"
