@@ -1,8 +1,11 @@
 """Substring dedup: repeated passages by MinHash banding of paragraphs.
 
 A paragraph ends at a sentence mark or a line break, so passages set into the middle of other
-texts still fall into the same paragraphs. Paragraphs of at least five words are sets of five-word
-shingles. Equal sets are one class. For unequal sets, bands of one MinHash each are tuned: as
+texts still fall into the same paragraphs. Neighbouring stretches of fewer than five words (verse,
+lists, tables) are joined until they have five or more, up to one whose own words say so, so copies
+between other short lines fall into step after a few lines. Only up to four words on their own
+between longer paragraphs are not part of one. Paragraphs are sets of five-word shingles, across the
+marks in them. Equal sets are one class. For unequal sets, bands of one MinHash each are tuned: as
 many as find a pair at the threshold with probability RECALL or more (paragraphs of up to three
 shingles can only be similar if equal, and need none). Paragraphs that share a band key with
 another are joined on it, classes in one bucket are compared by exact Jaccard similarity, and
@@ -29,6 +32,7 @@ import math
 import re
 
 import numpy as np
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -50,6 +54,10 @@ from .similar import (
 RECALL = 0.99
 LEAST_WORDS = 20
 SENT = 4_000_000
+#: Bytes of text that a task works on at once; a longer text is worked whole.
+SLICE = 2_000_000
+#: One in so many short stretches ends a paragraph of joined ones.
+JOIN_DIVISOR = 2
 _TOKEN = re.compile(r"\w+|[.!?\n]")
 _MARK = re.compile(r"[.!?\n]")
 _MARKS = np.array([xxhash.xxh3_64_intdigest(c) for c in ".!?\n"], dtype=np.uint64)
@@ -77,6 +85,38 @@ def _folded(text: str) -> str:
     return small
 
 
+def _joined(n_words: np.ndarray, of_text: np.ndarray, unit: np.ndarray, words: np.ndarray):
+    """For each unit the first one of its paragraph, and for that one the last."""
+    first, last = np.arange(len(n_words)), np.arange(len(n_words))
+    held = np.flatnonzero(n_words)  # empty units part nothing
+    short = np.flatnonzero(n_words[held] < WIDTH)
+    if not len(short):
+        return first, last
+    mine = held[short]
+    many = n_words[mine]
+    new = np.ones(len(mine), dtype=bool)
+    new[1:] = (np.diff(short) > 1) | (np.diff(of_text[mine]) > 0)
+    begins = np.flatnonzero(new)
+    enough = np.add.reduceat(many, begins) >= WIDTH
+    own = words[n_words[unit] < WIDTH]
+    ends = np.add.reduceat(_mixed(own, np.uint64(9)), offsets(many)[:-1]) >> np.uint64(40)
+    ends = (ends % np.uint64(JOIN_DIVISOR) == 0).tolist()
+    sizes, places = many.tolist(), mine.tolist()
+    for lo, hi in zip(begins[enough].tolist(), np.append(begins[1:], len(mine))[enough].tolist()):
+        cuts, so_far = [lo], 0
+        for i in range(lo, hi):
+            so_far += sizes[i]
+            if so_far >= WIDTH and ends[i]:
+                cuts.append(i + 1)
+                so_far = 0
+        if so_far < WIDTH and len(cuts) > 1:
+            cuts.pop()  # what is left over joins the paragraph before
+        for a, b in zip(cuts, [*cuts[1:], hi]):
+            first[places[a] : places[b - 1] + 1] = places[a]
+            last[places[a]] = places[b - 1]
+    return first, last
+
+
 def paragraphs(texts: list[str | None]) -> dict[str, np.ndarray]:
     """All paragraphs with shingles of some texts, in order: `text` (its number), `no` (among
     those of its text), `start` and `length` in characters, `word` and `words`, `size` of the set,
@@ -101,6 +141,9 @@ def paragraphs(texts: list[str | None]) -> dict[str, np.ndarray]:
     word_at = offsets(n_words)[:-1]
     word = word_at - word_at[first_unit][of_text] if n_units else word_at
     take = max(0, len(words) - WIDTH + 1)
+    first_of, last_of = _joined(n_words, of_text, unit, words)
+    unit = first_of[unit]
+    n_words = np.bincount(unit, minlength=n_units)[:n_units]
     inside = unit[:take] == unit[WIDTH - 1 :][:take] if take else np.zeros(0, bool)
     runs = np.zeros(take, dtype=np.uint64)
     for i in range(WIDTH):
@@ -116,9 +159,10 @@ def paragraphs(texts: list[str | None]) -> dict[str, np.ndarray]:
     text_of = of_text[kept] if len(kept) else kept
     rank = np.arange(len(kept))
     first = np.searchsorted(text_of, text_of, side="left") if len(kept) else rank
+    end = char_at + np.asarray(chars, dtype=np.int64) - 1
     return {
         "text": text_of, "no": rank - first, "start": start[kept] if len(kept) else kept,
-        "length": np.asarray(chars, dtype=np.int64)[kept] - 1 if len(kept) else kept,
+        "length": end[last_of[kept]] - char_at[kept] if len(kept) else kept,
         "word": word[kept] if len(kept) else kept, "words": n_words[kept] if len(kept) else kept,
         "size": size, "begin": begin, "shingles": runs,
     }
@@ -141,6 +185,16 @@ def _keys(p: dict[str, np.ndarray], chosen: np.ndarray):
     return np.concatenate(who), np.concatenate(keys).view(np.int64), one.view(np.int64), two.view(np.int64)
 
 
+def _sliced(batches, column: int):
+    """The rows of batches in pieces of about SLICE bytes of text."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0)
+        part = np.cumsum(sizes.to_numpy(zero_copy_only=False), dtype=np.int64) // SLICE
+        begins = np.flatnonzero(np.diff(part, prepend=-1))
+        for lo, hi in zip(begins.tolist(), [*begins[1:].tolist(), len(part)]):
+            yield batch.slice(lo, hi - lo)
+
+
 def _repeated_keys(docs: DataFrame, chosen: np.ndarray) -> DataFrame:
     """Band keys that occur more than once."""
 
@@ -151,7 +205,7 @@ def _repeated_keys(docs: DataFrame, chosen: np.ndarray) -> DataFrame:
             keys, n = np.unique(np.concatenate(held), return_counts=True)
             return {"key": keys, "n": n}
 
-        for batch in batches:
+        for batch in _sliced(batches, 0):
             _, keys, _, _ = _keys(paragraphs(batch.column(0).to_pylist()), chosen)
             held.append(keys)
             many += len(keys)
@@ -176,7 +230,7 @@ def _candidates(docs: DataFrame, repeated: DataFrame, chosen: np.ndarray) -> Dat
     known = np.sort(repeated.toArrow()["key"].to_numpy()) if few else None
 
     def run(batches):
-        for batch in batches:
+        for batch in _sliced(batches, 2):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             null = np.asarray(batch.column(0).is_null())
             tkeys = batch.column(1).to_numpy(zero_copy_only=False)
@@ -204,7 +258,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """node and the set of one paragraph of each wanted class (node, doc_id, tkey, no)."""
 
     def run(batches):
-        for batch in batches:
+        for batch in _sliced(batches, 2):
             nodes, nos, texts = (c.to_pylist() for c in batch.columns)
             out = {"node": [], "shingles": []}
             p = paragraphs(texts)

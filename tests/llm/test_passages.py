@@ -5,7 +5,7 @@ import pytest
 
 from hearthflow.llm import passages
 
-from .conftest import prose
+from .conftest import prose, words
 
 
 def units(text):
@@ -135,3 +135,38 @@ def test_a_letter_that_grows_in_lower_case_leaves_the_others_folded(documents):
         (1, 80, True), (2, 80, False), (3, 80, False),
     ]
     assert passages._folded("\u0130 \u0130A") == "\u0130 \u0130a"
+
+
+def verse(n, seed):
+    rng, w = random.Random(seed), iter(words(4 * n, seed))
+    return [" ".join(next(w) for _ in range(rng.randint(2, 4))) for _ in range(n)]
+
+
+def test_a_passage_in_short_lines_is_found(documents):
+    song = verse(40, 81)
+    rows = [
+        (1, prose(40, 82) + "\n" + "\n".join(song) + "\n" + prose(40, 83)),
+        (2, prose(24, 84) + "\n\n" + "!\n\n".join(song) + ".\n" + prose(32, 85)),
+        (3, "\n".join(verse(11, 86) + song + verse(9, 87))),
+        (4, "\n".join(verse(60, 88))),
+    ]
+    frame = documents(rows)
+    found = {r["doc_id"]: r for r in passages.repeated_passages(frame).collect()}
+    n = sum(len(x.split()) for x in song)
+    assert {i: r["keep"] for i, r in found.items()} == {1: True, 2: False, 3: False}
+    assert found[1]["words"] == found[2]["words"] == n and found[3]["words"] > 0.7 * n
+    out = {r["doc_id"]: r["text"] for r in passages.without_repeats(frame).collect()}
+    assert out[1] == rows[0][1] and out[4] == rows[3][1]
+    assert not any(x in out[2].split("\n") for x in song)
+    assert all(x in out[3].split("\n") for x in verse(11, 86)[:-6] + verse(9, 87)[6:])
+
+
+def test_every_word_of_short_lines_lies_in_one_paragraph():
+    texts = ["\n".join(verse(50, 90 + i)) for i in range(20)] + ["a b c", "", None, "a b\n\nc d. e"]
+    p = passages.paragraphs(texts)
+    for i, text in enumerate(texts):
+        mine = p["text"] == i
+        n = len((text or "").replace(".", " ").split())
+        assert p["words"][mine].sum() == (n if n >= 5 else 0)
+        for at, long, many in zip(p["start"][mine], p["length"][mine], p["words"][mine]):
+            assert many >= 5 and len(re.findall(r"\w+", text[at : at + long])) == many
