@@ -5,14 +5,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import staged
 from .timeline import latest_rows, sorted_by_time
 
 __all__ = [
-    "champion", "dedup", "device_history", "latest_per_device", "recent_per_device",
-    "sort_chronological", "sort_export", "top_features", "union_devices",
+    "champion", "dedup", "device_history", "latest_per_device", "positions",
+    "recent_per_device", "sort_chronological", "sort_export", "top_features", "union_devices",
 ]
 
 sort_chronological = sorted_by_time
@@ -23,6 +24,31 @@ def sort_export(df: DataFrame) -> DataFrame:
     return df.orderBy(F.coalesce("timestamp", F.lit("")), "push_id")
 
 
+def positions(df: DataFrame, order: Sequence[Column | str], name: str = "position") -> DataFrame:
+    """All rows with their place, from 1, in the order of the whole table.
+
+    Rows are range-partitioned and sorted by Spark; a row's place is its place in its partition
+    plus the rows of the partitions before it, a running sum over one row per partition. No task
+    sees more than its partition. The partitioner reads its input twice, so stage costly input.
+    Rows that agree in all of `order` take their places in any order."""
+    at = _unused(df, "_at")
+    part = F.shiftright(at, 33)  # the id holds the partition above 33 bits of the place in it
+    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = staged(ordered.withColumn(at, F.monotonically_increasing_id()), "positions")
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    earlier = F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")
+    before = sizes.select(F.col("_part").alias("_of"), earlier.alias("_before"))
+    joined = placed.join(F.broadcast(before), part == F.col("_of"))
+    place = F.col("_before") + F.col(at).bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return joined.select(*df.columns, place.alias(name))
+
+
+def _unused(df: DataFrame, name: str) -> str:
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def recent_per_device(df: DataFrame, rows: int = 10, key: str = "device_id") -> DataFrame:
     return latest_rows(df, rows, key, [F.desc("reading_id")])
 
