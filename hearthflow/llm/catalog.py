@@ -10,6 +10,7 @@ from .packing import op2_best_fit_packing
 from .passages import op10_paragraph_banding
 from .quality import op8_co_training_quality
 from .resample import OP11_SQL, op11_importance_resampling
+from .suffixes import OP13_SQL, op13_suffix_merge_sort
 from .topk import OP6_SQL, op6_exact_top_k
 from .toxicity import op4_kneser_ney_toxicity
 from .warc import OP1_SQL, op1_warc_boundary_chains
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_paragraph_banding": op10_paragraph_banding,
     "op11_importance_resampling": op11_importance_resampling,
     "op12_source_divergence": op12_source_divergence,
+    "op13_suffix_merge_sort": op13_suffix_merge_sort,
 }
 ORACLES = {
     "op1_warc_boundary_chains": OP1_SQL,
@@ -36,4 +38,5 @@ ORACLES = {
     "op6_exact_top_k": OP6_SQL,
     "op11_importance_resampling": OP11_SQL,
     "op12_source_divergence": OP12_SQL,
+    "op13_suffix_merge_sort": OP13_SQL,
 }
