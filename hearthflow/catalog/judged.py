@@ -533,17 +533,23 @@ def agg_sweep_peak(spark, sf):
 # --- sort, limit, latest, set operations -----------------------------------
 
 
-@query(check("SELECT reading_id, t_sec, device_id FROM readings"))
+@query(
+    check(
+        "SELECT reading_id, t_sec, device_id, row_number() OVER (ORDER BY t_sec, reading_id) "
+        "AS position FROM readings"
+    )
+)
 def sort_chronological(spark, sf):
-    return ranking.sort_chronological(readings(spark, sf)).select(
-        "reading_id", "t_sec", "device_id"
+    return ranking.sort_chronological(readings(spark, sf), position="position").select(
+        "reading_id", "t_sec", "device_id", "position"
     )
 
 
 @query(
     check(
-        "SELECT 'p' || reading_id AS push_id, CASE WHEN k >= 5 THEN t_sec::VARCHAR END "
-        "AS timestamp FROM readings"
+        "SELECT *, row_number() OVER (ORDER BY coalesce(timestamp, ''), push_id) AS position FROM "
+        "(SELECT 'p' || reading_id AS push_id, CASE WHEN k >= 5 THEN t_sec::VARCHAR END "
+        "AS timestamp FROM readings)"
     )
 )
 def sort_export(spark, sf):
@@ -551,7 +557,7 @@ def sort_export(spark, sf):
         F.concat(F.lit("p"), "reading_id").alias("push_id"),
         F.when(F.col("k") >= 5, F.col("t_sec").cast("string")).alias("timestamp"),
     )
-    return ranking.sort_export(r)
+    return ranking.sort_export(r, position="position")
 
 
 def _top(rows, key="device_id"):

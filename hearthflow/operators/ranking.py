@@ -9,19 +9,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import staged
-from .timeline import latest_rows, sorted_by_time
+from .timeline import ORDER, latest_rows, sorted_by_time
 
 __all__ = [
     "champion", "dedup", "device_history", "latest_per_device", "positions",
     "recent_per_device", "sort_chronological", "sort_export", "top_features", "union_devices",
 ]
 
-sort_chronological = sorted_by_time
-
-
-def sort_export(df: DataFrame) -> DataFrame:
-    """Order of the master export: timestamp text with blanks first, then push id."""
-    return df.orderBy(F.coalesce("timestamp", F.lit("")), "push_id")
+def sort_chronological(
+    df: DataFrame, order: Sequence[str] = ORDER, position: str | None = None
+) -> DataFrame:
+    """Chronological order with unknown times last; on request with each row's place as a column."""
+    if position is None:
+        return sorted_by_time(df, order)
+    return positions(df, [F.col(order[0]).asc_nulls_last(), *order[1:]], position).orderBy(position)
+
+
+def sort_export(df: DataFrame, position: str | None = None) -> DataFrame:
+    """Order of the master export: timestamp text with blanks first, then push id; on request
+    with each row's place as a column."""
+    order = [F.coalesce("timestamp", F.lit("")), F.col("push_id")]
+    if position is None:
+        return df.orderBy(*order)
+    return positions(df, order, position).orderBy(position)
 
 
 def positions(df: DataFrame, order: Sequence[Column | str], name: str = "position") -> DataFrame:
