@@ -49,6 +49,7 @@ HEADLINE = (
     "stream_dedup",
     "stream_watchdog",
     "ml_train_forest",
+    "ml_train_boosted",
 )
 
 

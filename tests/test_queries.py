@@ -5,10 +5,8 @@ from compare import difference
 
 from hearthflow.catalog import ORACLES, QUERIES
 
-SLOW = {"ml_train_boosted", "champion_select", "sink_model_bundle"}  # 300 boosted trees each
 
-
-@pytest.mark.parametrize("name", [q for q in QUERIES if q not in SLOW])
+@pytest.mark.parametrize("name", QUERIES)
 def test_query_agrees_with_sql(spark, name):
     assert difference(name, QUERIES[name], ORACLES.get(name), spark, "0.001") is None
 
