@@ -28,8 +28,10 @@ def rate_limit(
     order: Sequence[str] = ("event_time", "reading_id"),
     **limits,
 ) -> DataFrame:
-    """`alert_kind` per reading: TRANSITION, REMINDER, ALL_CLEAR or null."""
-    df = df.withColumns({"at_us": micros("event_time"), "alert_level": level(state)})
+    """`alert_kind` per reading: TRANSITION, REMINDER, ALL_CLEAR or null. An unknown state counts
+    as WARNING."""
+    known = F.coalesce(level(state), F.lit(1))
+    df = df.withColumns({"at_us": micros("event_time"), "alert_level": known})
 
     def step(s: Series) -> DataFrame:
         return walk_series(s, AlertWalk(reminder))

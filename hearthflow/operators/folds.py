@@ -10,7 +10,8 @@ each reports its end state together with how strongly that end moves with the st
 From these the true starts are worked out, chunks whose start changed are walked again,
 and so on until no start changes; the last pass then emits the rows. The first chunk's
 start is always right, so the loop ends after at most one round per chunk; it usually
-needs two or three, because old state fades out.
+needs two or three, because old state fades out. Alerts, whose state need not fade, have
+their starts from `reminders` instead.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .reminders import alert_starts
 from .rules import (
     FIRE_GAS_Z,
     FIRE_RATE,
@@ -58,6 +60,10 @@ class Walk:
         """
         raise NotImplementedError
 
+    def starts(self, series: Series) -> dict:
+        """True start state of every (key, chunk) of a chunked series."""
+        return chunk_starts(series, self)
+
 
 class RoomBaselineWalk(Walk):
     """Adaptive room baseline that stops learning while a fire or pre-fire is seen."""
@@ -260,6 +266,9 @@ class AlertWalk(Walk):
             out.append(kind)
         return (last, alerted_at), (0, quiet), (out,)
 
+    def starts(self, series):
+        return alert_starts(series, self.wait)
+
 
 # ---------------------------------------------------------------------------
 # driver
@@ -448,7 +457,7 @@ def walk_series(series: Series, walk: Walk) -> DataFrame:
         [*series.df.schema, *[T.StructField(n, t) for n, t in walk.outputs.items()]]
     )
     if series.chunked:
-        starts = chunk_starts(series, walk)
+        starts = walk.starts(series)
         return series.df.mapInArrow(_emit_rows(walk, series.key, starts), schema)
     return _ordered(series, series.df).mapInArrow(_emit_rows(walk, series.key), schema)
 
@@ -457,7 +466,7 @@ def final_states(series: Series, walk: Walk) -> DataFrame:
     """One row per key: the state after its last row, a column per state field."""
     df = _narrow(series, walk)
     if series.chunked:
-        starts = chunk_starts(series, walk)
+        starts = walk.starts(series)
         ends = df.mapInArrow(_emit_ends(walk, series.key, starts), _ends_schema(series))
         ends = ends.groupBy(*series.key).agg(F.max_by("state", CHUNK).alias("state"))
     else:
