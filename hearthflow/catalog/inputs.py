@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.boosting import Boosted, Tree
+from ..schema import CLASS_NAMES
 from ..session import staged
 
 
@@ -19,6 +21,20 @@ def stated(r: DataFrame) -> DataFrame:
     )
 
 
+def given_model() -> Boosted:
+    """A small model with trees written down here, so that SQL can give its answers."""
+    fire = Tree()
+    hot = fire.split(0, 0, 0, [-1.5, 0.0]) + 1
+    fire.split(hot, 2, 0, [0.2, 2.6])
+    steam = Tree()
+    steam.split(0, 1, 0, [-0.8, 1.1])
+    return Boosted(
+        features=["temperature", "humidity", "temp_zscore"], classes=list(CLASS_NAMES),
+        cuts=[[30.0], [74.0], [3.005]], base=[0.0, 0.0, 0.0],
+        rounds=[[Tree(value=[0.5]), fire, steam]], gains=[2.0, 1.0, 1.0],
+    )
+
+
 def rounded(df: DataFrame, digits: int, *names: str) -> DataFrame:
     return df.withColumns({n: F.round(n, digits) for n in names})
 

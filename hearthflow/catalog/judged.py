@@ -12,7 +12,7 @@ from ..sources.fixture import readings
 from . import inputs
 from .inputs import rounded
 from .registry import query
-from .sql import DECIDED, ROOM_WALK, STATED, alert_walk, check
+from .sql import DECIDED, DECIDED_BY_MODEL, ROOM_WALK, STATED, alert_walk, check
 
 # --- rules -----------------------------------------------------------------
 
@@ -203,25 +203,28 @@ rolling AS (
 @query(
     check(
         """SELECT reading_id, device_id AS id, room_id || ' Fire Node' AS name,
-             risk_score, fire_state,
+             round(risk_score, 6) AS risk_score, fire_state,
              CASE WHEN fire_state IN ('HIGH_RISK', 'FIRE') THEN 'ACTIVE' ELSE 'IDLE' END
-               AS response_status, verdict, fusion_confidence, seen >= 15 AS calibrated
+               AS response_status, verdict, true AS ml_active, ml_prediction, fusion_confidence,
+             seen >= 15 AS calibrated
            FROM decided JOIN rolling USING (reading_id)""",
         ROOM_WALK,
-        DECIDED,
+        DECIDED_BY_MODEL,
         DOC_SQL,
     )
 )
 def proj_device_doc(spark, sf):
-    docs = normalise.device_doc(documents(readings(spark, sf)))
+    docs = normalise.device_doc(documents(readings(spark, sf), inputs.given_model()))
     return docs.select(
         "reading_id",
         "id",
         "name",
-        F.col("riskScore").alias("risk_score"),
+        F.round("riskScore", 6).alias("risk_score"),
         F.col("fireState").alias("fire_state"),
         F.col("responseStatus").alias("response_status"),
         F.col("aiClassificationVerdict").alias("verdict"),
+        F.col("aiMetadata.mlActive").alias("ml_active"),
+        F.col("aiMetadata.mlPrediction").alias("ml_prediction"),
         F.col("aiMetadata.fusionConfidence").alias("fusion_confidence"),
         F.col("aiMetadata.baselineCalibrated").alias("calibrated"),
     )

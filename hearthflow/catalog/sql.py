@@ -115,7 +115,9 @@ classified AS (
   FROM walk w JOIN readings r ON r.reading_id = w.reading_id WHERE w.rn > 0)"""
 
 # Fused state of classified readings.
-DECIDED = """
+def decided_sql(source: str = "classified", signal: str = "0") -> str:
+    """Risk, state and decision of the rows of `source`, with one more signal of the risk."""
+    return f"""
 risked AS (
   SELECT *, CASE WHEN risk > 80 THEN 'FIRE' WHEN risk > 50 THEN 'HIGH_RISK'
                  WHEN risk >= 30 THEN 'WARNING' ELSE 'SAFE' END AS state
@@ -124,8 +126,8 @@ risked AS (
               + least(greatest(temp_rate * 60.0::DOUBLE / 15.0::DOUBLE * 40.0::DOUBLE, 0), 40)),
           CASE WHEN flame_raw > 800 THEN 5 WHEN flame_raw > 400 THEN 15
                ELSE least(50 + (400 - flame_raw) * 30 // 400 + flame_digital * 20 // 3, 100)
-          END)::DOUBLE AS risk
-        FROM classified)),
+          END, {signal})::DOUBLE AS risk
+        FROM {source})),
 fused AS (
   SELECT *, CASE WHEN verdict = 'NORMAL_SUNNY_DAY' THEN 'SAFE'
                  WHEN starts_with(verdict, 'FALSE_ALARM') AND state <> 'FIRE' THEN 'SAFE'
@@ -143,6 +145,21 @@ decided AS (
                   THEN greatest(risk2, 90) ELSE risk2 END)::DOUBLE AS risk_score
   FROM fused)"""
 
+
+DECIDED = decided_sql()
+#: The answers of inputs.given_model, and the decisions that follow them.
+ANSWERED = """
+answered AS (
+  SELECT *, exp(m1) / (exp(m0) + exp(m1) + exp(m2)) AS p_fire,
+    CASE WHEN m0 >= m1 AND m0 >= m2 THEN 'NORMAL' WHEN m1 >= m2 THEN 'FIRE' ELSE 'FALSE_ALARM' END
+      AS ml_prediction
+  FROM (SELECT *, 0.5::DOUBLE AS m0,
+          (CASE WHEN temperature <= 30 THEN -1.5 WHEN round(temp_z, 2) <= 3.005 THEN 0.2 ELSE 2.6 END)::DOUBLE
+            AS m1,
+          (CASE WHEN humidity <= 74 THEN -0.8 ELSE 1.1 END)::DOUBLE AS m2
+        FROM classified))"""
+DECIDED_BY_MODEL = ANSWERED + "," + decided_sql("answered", "100.0::DOUBLE * p_fire")
+
 DEVICE_SEQ = """
 dseq AS MATERIALIZED (
   SELECT *, row_number() OVER (PARTITION BY device_id ORDER BY t_sec, reading_id) AS rn

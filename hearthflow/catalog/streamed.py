@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from ..plans.online import enrichment
+from ..plans.models import Registry, versioned_enrichment
 from ..session import staging_path
 from ..sinks import streams
 from ..sources import wire
@@ -16,7 +16,7 @@ from . import inputs
 from .inputs import POSTED
 from .intake import POST_COLUMNS
 from .registry import query
-from .sql import DECIDED, ROOM_WALK, STATED, alert_walk, check
+from .sql import DECIDED_BY_MODEL, ROOM_WALK, STATED, alert_walk, check
 
 POSTED_COLUMNS = [c for c in POST_COLUMNS if c != "reason"]
 
@@ -125,27 +125,32 @@ def stream_late_data(spark, sf):
 
 @query(
     check(
-        "SELECT reading_id, device_id, verdict AS prediction FROM decided "
+        "SELECT reading_id, device_id, ml_prediction AS prediction, round(p_fire, 9) AS confidence, "
+        "round(risk_score, 6) AS risk_score, 1 AS model_version FROM decided "
         "WHERE event_type IN ('view', 'error')",
         ROOM_WALK,
-        DECIDED,
+        DECIDED_BY_MODEL,
     )
 )
 def stream_enrich_writeback(spark, sf):
-    """Enrich the readings that wait for inference and write the answers back by id."""
+    """Enrich the readings that wait for inference by the newest published model and write the
+    answers back by id."""
     from ..operators.normalise import pending_inference
 
     jobs.use_state_store(spark)
     path = staging_path(spark, "writeback")
+    registry = Registry(spark, f"{path}/models")
+    registry.publish(inputs.given_model(), "BoostedTrees")
     kind = F.col("event_type")
     known = F.when(kind == "view", "PENDING_INFERENCE").when(kind != "error", "NORMAL")
     classified = processors.room_baseline(reading_stream(spark, sf))
     waiting = pending_inference(classified.withColumn("ml_prediction", known)).drop("ml_prediction")
     streams.enrichment_patch(
-        enrichment(waiting), f"{path}/rows", f"{path}/progress", jobs.available_now()
-    ).awaitTermination()
-    return (
-        streams.patched(readings(spark, sf), f"{path}/rows")
-        .filter("prediction is not null")
-        .select("reading_id", "device_id", "prediction")
-    )
+        waiting, f"{path}/rows", f"{path}/progress", jobs.available_now(),
+        versioned_enrichment(registry, f"{path}/pins"),
+    ).awaitTermination()
+    out = streams.patched(readings(spark, sf), f"{path}/rows").filter("prediction is not null")
+    return out.select(
+        "reading_id", "device_id", "prediction", F.round("confidence", 9).alias("confidence"),
+        F.round("risk_score", 6).alias("risk_score"), "model_version",
+    )

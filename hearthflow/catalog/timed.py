@@ -6,13 +6,13 @@ from pyspark.sql import functions as F
 
 from ..operators import alerts, rules, timeline
 from ..plans.calibrate import ENRICHED, batch_calibrate, classify
-from ..plans.online import risk
+from ..plans.online import answered, risk
 from ..sources.fixture import EPOCH, readings
 from . import inputs
 from .inputs import rounded
 from .judged import DOC_SQL
 from .registry import query
-from .sql import DECIDED, DEVICE_SEQ, EDGE_WALK, ROOM_WALK, STATED, alert_walk, check
+from .sql import DECIDED, DECIDED_BY_MODEL, DEVICE_SEQ, EDGE_WALK, ROOM_WALK, STATED, alert_walk, check
 
 
 
@@ -386,9 +386,22 @@ def feat_fusion_confidence(spark, sf):
     return timeline.rolling_features(readings(spark, sf)).select("reading_id", "fusion_confidence")
 
 
-@query(check("SELECT reading_id, risk, state FROM risked", ROOM_WALK, DECIDED))
+@query(
+    check(
+        "SELECT reading_id, round(risk, 6) AS risk, state, ml_prediction, round(p_fire, 9) AS p_fire "
+        "FROM risked",
+        ROOM_WALK,
+        DECIDED_BY_MODEL,
+    )
+)
 def risk_hybrid(spark, sf):
-    return risk(classify(readings(spark, sf))).select("reading_id", "risk", "state")
+    """The risk with the model's probability of FIRE among its signals."""
+    rows = answered(classify(readings(spark, sf)), inputs.given_model())
+    p_fire = F.try_element_at("probabilities", F.lit("FIRE"))
+    return risk(rows.withColumn("p_fire", p_fire), F.col("p_fire")).select(
+        "reading_id", F.round("risk", 6).alias("risk"), "state", "ml_prediction",
+        F.round("p_fire", 9).alias("p_fire"),
+    )
 
 
 @query(

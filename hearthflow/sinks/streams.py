@@ -3,6 +3,8 @@ sink is idempotent."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,18 +22,28 @@ PATCH = (
     "temp_rate_of_change",
     "ai_classification_verdict",
 )
+VERSION = "model_version"
 
 
 def enrichment_patch(
-    enriched: DataFrame, path: str, checkpoint: str, trigger: dict | None = None
+    rows: DataFrame,
+    path: str,
+    checkpoint: str,
+    trigger: dict | None = None,
+    prepare: Callable[[DataFrame, int], DataFrame] | None = None,
 ) -> StreamingQuery:
-    """Write the patch columns of every batch to its own folder."""
+    """Write the patch columns (and `model_version`, if there is one) of every batch to its own
+    folder. `prepare` makes patches of classified rows batch by batch, see
+    `plans.models.versioned_enrichment`; without it the rows are patches."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.select(*PATCH).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        if prepare is not None:
+            batch = prepare(batch, batch_id)
+        columns = [c for c in (*PATCH, VERSION) if c != VERSION or c in batch.columns]
+        batch.select(*columns).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     return (
-        enriched.writeStream.foreachBatch(write)
+        rows.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or every(2)))
         .start()
@@ -42,7 +54,7 @@ def patched(readings: DataFrame, path: str) -> DataFrame:
     """Readings with their newest patch."""
     spark = readings.sparkSession
     patches = spark.read.parquet(path)
-    rest = [c for c in PATCH if c != "reading_id"]
+    rest = [c for c in (*PATCH, VERSION) if c != "reading_id" and c in patches.columns]
     newest = (
         patches.groupBy("reading_id")
         .agg(F.max_by(F.struct(*rest), "batch_id").alias("_patch"))
