@@ -11,11 +11,12 @@ from ..session import staging_path
 from ..sinks import streams
 from ..sources import wire
 from ..sources.fixture import reading_stream, readings
-from ..streaming import jobs, processors
+from ..streaming import jobs, processors, windows
 from . import inputs
-from .inputs import POSTED
+from .inputs import POSTED, rounded
 from .intake import POST_COLUMNS
-from .registry import query
+from . import timed  # noqa: F401  (its checks hold for the streaming twins)
+from .registry import ORACLES, query
 from .sql import DECIDED_BY_MODEL, ROOM_WALK, STATED, alert_walk, check
 
 POSTED_COLUMNS = [c for c in POST_COLUMNS if c != "reason"]
@@ -59,6 +60,29 @@ def stream_room_baseline(spark, sf):
     return _classified(jobs.drain(on_time, "rooms"))
 
 
+@query(ORACLES["win_history_50"])
+def stream_history_50(spark, sf):
+    """The last 50 readings of each device as live state."""
+    jobs.use_state_store(spark)
+    out = jobs.drain(windows.history(reading_stream(spark, sf)), "history")
+    return rounded(out, 9, "temperature_mean", "gas_raw_mean").select(
+        "reading_id", "history_rows", "temperature_mean", "temperature_min", "temperature_max",
+        "gas_raw_mean", "gas_raw_min", "gas_raw_max",
+    )
+
+
+@query(ORACLES["feat_rolling"])
+def stream_rolling(spark, sf):
+    """Rolling features of each device on a stream."""
+    jobs.use_state_store(spark)
+    out = jobs.drain(windows.rolling_features(reading_stream(spark, sf)), "rolling")
+    out = rounded(out, 9, "temperature_mean")
+    return rounded(out, 7, "temperature_std", "temperature_z").select(
+        "reading_id", "temperature_mean", "temperature_std", "temperature_z", "gas_raw_anomaly",
+        "flame_raw_anomaly",
+    )
+
+
 #: Every stretch of a room's readings without a silence of more than 30 s is a room of its own.
 SESSIONS = """
 sessions AS (

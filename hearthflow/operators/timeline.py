@@ -63,7 +63,11 @@ def rolling_features(
 
         return s.bounded(build, before=rows - 1).df
 
-    out = over_series(df, key, order, step, **limits)
+    return anomalies(over_series(df, key, order, step, **limits), channels, z)
+
+
+def anomalies(out: DataFrame, channels: Sequence[str], z: float = 3.0) -> DataFrame:
+    """z-score and flag of each channel from its mean and deviation, and `fusion_confidence`."""
     out = out.withColumns(
         {
             f"{c}_z": (F.col(c) - F.col(f"{c}_mean")) / F.nullif(F.col(f"{c}_std"), F.lit(0.0))

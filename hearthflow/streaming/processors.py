@@ -20,6 +20,14 @@ from ..operators.rules import fusion_verdict
 AT = "at_us"
 
 
+def late_rows(arrived: pd.DataFrame, key, newest: int | None) -> pd.Series:
+    """Rows that must not touch the state: without a time or a key, or older than what it has."""
+    late = arrived[AT].isna() | (key[0] is None)
+    if newest is not None:
+        late |= arrived[AT] < newest
+    return late
+
+
 class WalkProcessor(StatefulProcessor):
     """Runs a Walk over the rows of a micro-batch in time order.
 
@@ -54,31 +62,31 @@ class WalkProcessor(StatefulProcessor):
         if stored is not None:
             state = tuple(type(s)(x) for s, x in zip(start, stored[:-1]))
             newest = stored[-1]
-        late = arrived[AT].isna() | (key[0] is None)
-        if newest is not None:
-            late |= arrived[AT] < newest
+        late = late_rows(arrived, key, newest)
         fresh = arrived[~late].sort_values(self.order, kind="stable")
-        for part in self._between_silences(fresh, newest):
-            if self._silent(newest, int(part[AT].iloc[0])):
-                state = start
-            columns = [part[c].tolist() for c in self.walk.inputs]
-            state, _, out = self.walk.walk(state, columns)
-            newest = int(part[AT].iloc[-1])
+        if len(fresh):
+            columns = [fresh[c].tolist() for c in self.walk.inputs]
+            cuts = [0, *self._silences(fresh[AT].to_numpy(dtype="int64"), newest), len(fresh)]
+            done = []
+            for lo, hi in zip(cuts, cuts[1:]):
+                if lo or len(cuts) > 2 and cuts[1] == 0:
+                    state = start
+                if lo < hi:
+                    state, _, out = self.walk.walk(state, [c[lo:hi] for c in columns])
+                    done.append(out)
+            newest = int(fresh[AT].iloc[-1])
             self.state.update((*[float(x) for x in state], newest))
-            yield part.assign(**dict(zip(self.walk.outputs, out)), late=False)
+            joined = [[x for part in parts for x in part] for parts in zip(*done)]
+            yield fresh.assign(**dict(zip(self.walk.outputs, joined)), late=False)
         if late.any():
             yield arrived[late].assign(**{n: None for n in self.walk.outputs}, late=True)
 
-    def _silent(self, before: int | None, now: int) -> bool:
-        silent = self.forget_ms and before is not None and now - before > self.forget_ms * 1000
-        return bool(silent)
-
-    def _between_silences(self, fresh: pd.DataFrame, newest: int | None) -> list[pd.DataFrame]:
-        """The rows, cut where the key was silent for too long."""
-        if not self.forget_ms or not len(fresh):
-            return [fresh] if len(fresh) else []
-        gaps = fresh[AT].diff() > self.forget_ms * 1000
-        return [part for _, part in fresh.groupby(gaps.cumsum(), sort=True)]
+    def _silences(self, at: np.ndarray, newest: int | None) -> list[int]:
+        """Places of the rows before which the key was silent for too long."""
+        if not self.forget_ms:
+            return []
+        before = at[0] if newest is None else newest
+        return np.flatnonzero(np.diff(at, prepend=before) > self.forget_ms * 1000).tolist()
 
     def close(self) -> None:
         pass
