@@ -49,11 +49,12 @@ def token_pieces(
     step = 4 * capacity
 
     def cut(batches):
-        encode = encoder(definition).encode
+        encode_all = encoder(definition).encode_all
         for batch in batches:
             out = {"doc_id": [], "piece": [], "start": [], "length": [], "ids": []}
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = encode(text) + end
+            texts = batch.column(1).to_pylist()
+            for doc_id, ids_of_text in zip(batch.column(0).to_pylist(), encode_all(texts)):
+                ids = ids_of_text + end
                 for n, at in enumerate(range(0, len(ids), step)):
                     part = ids[at : at + step]
                     out["doc_id"].append(doc_id)

@@ -2,10 +2,12 @@
 
 Both supported kinds of tokenizer never let a token reach across white space (the byte-level
 one takes a single space into the word after it) nor from letters to other characters, so the
-ids of a text are the ids of its stretches one after the other. Each distinct stretch is encoded
-once per worker, many in one call, and then looked up, which is several times faster than
-encoding whole texts. Texts with characters for which the splitting rules of the libraries might
-differ are encoded whole, and stretches with an apostrophe are left whole.
+ids of a text are the ids of its stretches one after the other. Texts are worked in portions: the
+distinct stretches of a portion that the worker does not know yet are encoded once and then
+looked up, which is several times faster than encoding whole texts. Words of ASCII letters, which
+are one stretch in any text, go to the library's model at once; other stretches go through its
+whole chain of steps, and stretches with an apostrophe are left whole. Texts with characters for
+which the splitting rules of the libraries might differ are encoded whole.
 """
 
 from __future__ import annotations
@@ -13,20 +15,25 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
 #: Texts made of these characters only may be cut into stretches.
-_PLAIN = re.compile(
+_PLAIN_ASCII = bytes([9, 10, 13, *range(32, 127)])
+_NOT_PLAIN = re.compile(
     r"[^\t\n\r -~\u00a1-\u00a9\u00ab-\u00b4\u00b6-\u00b9\u00bb-\u012f\u0131-\u024f]"
 )
 _L = r"A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
-_BY_WORD = re.compile(rf"\S*'\S*|[{_L}]+|[^\s{_L}]+")
-_BY_BYTE = re.compile(rf" ?\S*'\S*| ?[{_L}]+| ?[^\s{_L}]+|\s+(?!\S)|\s+")
-#: Texts where white space comes in runs with a space are not simply cut at spaces.
-_RUNS = re.compile(r" \s|[\t\n\r] | $")
+_BY_WORD = rf"[{_L}]+|[^\s{_L}]+"
+_BY_BYTE = rf" ?[{_L}]+| ?[^\s{_L}]+|\s+(?!\S)|\s+"
+#: What goes first in texts with an apostrophe.
+_WITH_APOSTROPHE = r" ?\S*'\S*|"
 #: Stretches of a generation that a worker keeps; older ones go unless they are used again.
-KEPT = 300_000
+KEPT = 500_000
+#: Characters of texts that are worked side by side; a longer text is a portion of its own.
+PORTION = 1 << 20
 _ENCODERS: dict[int, "Encoder"] = {}
 
 
@@ -44,26 +51,29 @@ def encoder(definition: str) -> "Encoder":
     return _ENCODERS[key]
 
 
-class Kept(dict):
-    """Two generations of values: what is found in the older one moves to the younger one."""
+class Kept:
+    """Two generations of values: what is used again moves to the younger one."""
 
-    def __init__(self, older: dict):
-        super().__init__()
-        self.older = older
+    def __init__(self):
+        self.now: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
-    def __missing__(self, key):
-        value = self[key] = self.older[key]
-        return value
-
-    def lacks(self, key) -> bool:
-        return key not in self and key not in self.older
-
-    def aged(self) -> "Kept":
-        return Kept(dict(self)) if len(self) > KEPT else self
+    def lacking(self, keys: set[str]) -> list[str]:
+        """The keys that have no value; all others are in `now` after the call."""
+        if len(self.now) > KEPT:
+            self.now, self.older = {}, self.now
+        now, older = self.now, self.older
+        missing = []
+        for key in keys.difference(now):
+            if key in older:
+                now[key] = older[key]
+            else:
+                missing.append(key)
+        return missing
 
 
 class Encoder:
-    """Ids of texts; `words` keeps those of stretches, `chunks` those between two spaces."""
+    """Ids of texts; `words` keeps those of stretches."""
 
     def __init__(self, definition: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -72,12 +82,14 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
         self.by_word = _drops_white_space(json.loads(definition))
-        self.cut = (_BY_WORD if self.by_word else _BY_BYTE).findall
+        rule = _BY_WORD if self.by_word else _BY_BYTE
+        self.cut = re.compile(rule).findall
+        self.cut_apostrophes = re.compile(_WITH_APOSTROPHE + rule).findall
         vocabulary = self.tokenizer.get_vocab()
         self.edge = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         for token, number in vocabulary.items():
             self.edge[number] = token.endswith("</w>") if self.by_word else token[0] == "\u0120"
-        self.words, self.chunks = Kept({}), Kept({})
+        self.words = Kept()
 
     def whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
@@ -85,42 +97,59 @@ class Encoder:
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers; null counts as empty."""
+        return next(self.encode_all([text]))
+
+    def encode_all(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """The ids of each text in turn."""
+        portion, held = [], 0
+        for text in texts:
+            portion.append(text)
+            held += len(text or "")
+            if held >= PORTION:
+                yield from self._portion(portion)
+                portion, held = [], 0
+        yield from self._portion(portion)
+
+    def _portion(self, texts: list[str | None]) -> Iterator[bytes]:
+        cuts = [self._stretches(text) for text in texts]
+        self._learn(set().union(*(c for c in cuts if c)))
+        found = self.words.now.__getitem__
+        for text, stretches in zip(texts, cuts):
+            yield self.whole(text) if stretches is None else b"".join(map(found, stretches))
+
+    def _stretches(self, text: str | None) -> list[str] | None:
+        """The stretches of a text, or None if it is not to be cut."""
         if not text:
-            return b""
-        if _PLAIN.search(text):
-            return self.whole(text)
-        first = b""
-        if self.by_word:
-            parts, before = text.split(), ""
-        elif _RUNS.search(text):
-            return self._stretches(self.cut(text))
-        else:
-            head, *parts = text.split(" ")
-            first, before = self._stretches(self.cut(head)), " "
-        chunks = self.chunks
-        try:
-            return first + b"".join([chunks[p] for p in parts])
-        except KeyError:
-            chunks = self.chunks = chunks.aged()
-            new = [p for p in dict.fromkeys(parts) if chunks.lacks(p)]
-            cuts = [self.cut(before + p) for p in new]
-            self._learn([w for c in cuts for w in c])
-            for p, c in zip(new, cuts):
-                chunks[p] = b"".join([self.words[w] for w in c])
-            return first + b"".join([chunks[p] for p in parts])
-
-    def _stretches(self, parts: list[str]) -> bytes:
-        self._learn(parts)
-        return b"".join([self.words[w] for w in parts])
-
-    def _learn(self, parts: list[str]) -> None:
-        """Encodes new stretches: words of letters all in one call, the others one by one."""
-        self.words = self.words.aged()
-        new = [w for w in dict.fromkeys(parts) if self.words.lacks(w)]
-        if self.by_word:
-            side_by_side = [w for w in new if w.isalpha()]
-        else:
-            side_by_side = [w for w in new if w[0] == " " and w[1:].isalpha()]
+            return []
+        if not _plain(text):
+            return None
+        return (self.cut_apostrophes if "'" in text else self.cut)(text)
+
+    def _of_letters(self, words: list[str]) -> list[bytes]:
+        """Ids of words of ASCII letters, maybe after a space, by the model alone."""
+        tokenize = self.tokenizer.model.tokenize
+        ids, ends = array("I"), [0]
+        for word in words:
+            word = word.lower() if self.by_word else word.replace(" ", "\u0120")
+            ids.extend([token.id for token in tokenize(word)])
+            ends.append(len(ids))
+        data = np.array(ids, dtype="<u4").tobytes()
+        return [data[4 * at : 4 * end] for at, end in zip(ends, ends[1:])]
+
+    def _learn(self, stretches: set[str]) -> None:
+        """Encodes new stretches: ASCII words by the model, other words side by side, the rest
+        one by one."""
+        letters, side_by_side, single = [], [], []
+        for w in self.words.lacking(stretches):
+            spaced = w[0] == " "
+            if not (w[1:] if spaced else w).isalpha():
+                single.append(w)
+            elif w.isascii():
+                letters.append(w)
+            else:
+                (side_by_side if spaced or self.by_word else single).append(w)
+        known = self.words.now
+        known.update(zip(letters, self._of_letters(letters)))
         if len(side_by_side) > 1:
             glued = (" " if self.by_word else "").join(side_by_side)
             ids = np.frombuffer(self.whole(glued), dtype="<u4")
@@ -132,10 +161,17 @@ class Encoder:
             if len(cuts) != len(side_by_side) + 1:
                 raise RuntimeError("the tokenizer cuts words in an unexpected way")
             for w, at, end in zip(side_by_side, cuts, cuts[1:]):
-                self.words[w] = ids[at:end].tobytes()
-        for w in new:
-            if w not in self.words:  # a word alone, or with other signs than letters
-                self.words[w] = self.whole(w)
+                known[w] = ids[at:end].tobytes()
+        else:
+            single += side_by_side
+        for w in single:
+            known[w] = self.whole(w)
+
+
+def _plain(text: str) -> bool:
+    if text.isascii():
+        return not text.encode().translate(None, _PLAIN_ASCII)
+    return not _NOT_PLAIN.search(text)
 
 
 def _drops_white_space(definition: dict) -> bool:

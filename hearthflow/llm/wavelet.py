@@ -194,7 +194,7 @@ def write(
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def build(batches):
-        encode = encoder(definition).encode
+        encode_all = encoder(definition).encode_all
         part, seq = TaskContext.get().partitionId(), 0
         doc_ids, lengths, ids, held = [], [], [], 0
 
@@ -206,8 +206,9 @@ def write(
             }
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                data = encode(text) + end
+            texts = batch.column(1).to_pylist()
+            for doc_id, ids_of_text in zip(batch.column(0).to_pylist(), encode_all(texts)):
+                data = ids_of_text + end
                 doc_ids.append(doc_id)
                 lengths.append(len(data) // 4)
                 ids.append(data)
