@@ -12,9 +12,10 @@ the next resolution is taken for blocks where pairs are left, and the exact inte
 worked out for the survivors only. The bound is raised by a slack above its rounding error, so no
 pair is lost, and ties stay in.
 
-The queries are dealt into groups of a bounded size, every vector goes to each group once (a
-stated query set against all rows, in blocks), and portions of the vectors spread each group over
-many tasks, which all return their own k best; a window takes the k best of those.
+The vectors are shuffled once, into portions of a bounded number of components, so that no task
+grows with the table. Each portion meets every query (a stated query set against all rows, in
+blocks): it holds its vectors with their statistics, the queries stream by in groups of a bounded
+size, and each group gets the portion's own k best; a window takes the k best of those.
 
 Vectors that are null, empty or hold null or non-finite components take no part, nor do rows
 without id. Only vectors of equal length are compared. The query's own id is no candidate.
@@ -30,10 +31,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_batches, spread, table
+from .common import map_batches, offsets, spread, table
 
+#: Queries that meet the vectors of a portion side by side.
 GROUP = 512
+#: Vectors whose bounds are taken side by side.
 BLOCK = 2048
+#: Components of the vectors of a portion, and the fewest portions.
+PORTION = 1 << 22
 LEAST_TASKS = 64
 RESOLUTIONS = (1, 4, 16)
 
@@ -56,21 +61,14 @@ def top_k(
         F.col(id_col).cast("bigint").alias("id"), integers(vec_col).alias("v"), queries.alias("asks")
     ).where("id is not null and v is not null")
     usable = usable.withColumn("dim", F.size("v"))
+    components = usable.agg(F.sum(F.col("dim").cast("bigint"))).first()[0] or 0
+    portions = max(LEAST_TASKS, math.ceil(components / PORTION))
     asked = usable.where("asks").select("id", "v", "dim").distinct()
-    groups = max(1, math.ceil(asked.count() / GROUP))
-    portions = max(1, math.ceil(LEAST_TASKS / groups))
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = asked.select(
-        "dim", spread("id", parts=groups).alias("g"), each(portions).alias("s"),
-        F.lit(0).alias("kind"), "id", "v",
-    )
-    right = usable.select(
-        "dim", each(groups).alias("g"),
-        (F.monotonically_increasing_id() % portions).cast("int").alias("s"),
-        F.lit(1).alias("kind"), "id", "v",
-    )
-    met = left.unionByName(right).repartition("dim", "g", "s")
-    met = met.sortWithinPartitions("dim", "g", "s", "kind")
+    held = usable.withColumn("row", F.monotonically_increasing_id())
+    held = held.select("dim", spread("row", parts=portions).alias("s"), F.lit(0).alias("kind"), "id", "v")
+    every = F.explode(F.sequence(F.lit(0), F.lit(portions - 1))).alias("s")
+    met = held.unionByName(asked.select("dim", every, F.lit(1).alias("kind"), "id", "v"))
+    met = met.repartition("dim", "s").sortWithinPartitions("dim", "s", "kind")
     best = map_batches(met, _search(k), "query_id bigint, vec_id bigint, score bigint")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
@@ -82,52 +80,67 @@ def top_k(
 
 def _search(k: int):
     def run(batches):
-        group, asked, best, held_ids, held = None, None, None, [], []
-
-        def flush():
-            if held_ids and best is not None:
-                best.meet(np.concatenate(held_ids), np.concatenate(held))
-            held_ids.clear()
-            held.clear()
-
-        for batch in batches:
-            keys = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)])
-            ids = batch.column(4).to_numpy(zero_copy_only=False)
-            flat = batch.column(5).flatten().to_numpy(zero_copy_only=False)
-            at = np.zeros(len(ids) + 1, dtype=np.int64)
-            np.cumsum(keys[0], out=at[1:])
-            edges = np.flatnonzero(np.any(keys[:, 1:] != keys[:, :-1], axis=0)) + 1
-            for lo, hi in zip([0, *edges], [*edges, len(ids)]):
-                if lo == hi:
-                    continue
-                key = tuple(keys[:3, lo])
-                rows = flat[at[lo] : at[hi]].reshape(hi - lo, -1)
-                if key != group:
-                    flush()
-                    if best is not None:
-                        yield best.result()
-                    group, asked, best = key, [], None
-                if keys[3, lo] == 0:
-                    asked.append((ids[lo:hi], rows))
-                    continue
-                if best is None and asked:
-                    best = Best(*map(np.concatenate, zip(*asked)), k)
-                    asked = []
-                if best is None:
-                    continue  # vectors of a length or group without queries
-                for a in range(lo, hi, BLOCK):
-                    b = min(a + BLOCK, hi)
-                    held_ids.append(ids[a:b])
-                    held.append(rows[a - lo : b - lo])
-                    if sum(map(len, held_ids)) >= BLOCK:
-                        flush()
-        flush()
-        if best is not None:
-            yield best.result()
+        portion, ids, rows, blocks = None, [], [], None
+
+        def blocks_of_portion() -> list[Block]:
+            held = np.concatenate(ids), np.concatenate(rows)
+            cuts = range(0, len(held[0]), BLOCK)
+            return [Block(*(part[at : at + BLOCK] for part in held)) for at in cuts]
+
+        def answers():
+            best = Best(np.concatenate(ids), np.concatenate(rows), k)
+            for block in blocks:
+                best.meet(block)
+            return best.result()
+
+        for key, these_ids, these in _stretches(batches):
+            if key[:2] != portion:
+                if blocks and ids:
+                    yield answers()
+                portion, ids, rows, blocks = key[:2], [], [], None
+            if key[2] == 1 and blocks is None:  # the first queries after the vectors
+                blocks = blocks_of_portion() if ids else []
+                ids, rows = [], []
+            if key[2] == 0:
+                ids.append(these_ids)
+                rows.append(these)
+                continue
+            for at in range(0, len(these_ids), GROUP):
+                ids.append(these_ids[at : at + GROUP])
+                rows.append(these[at : at + GROUP])
+                if blocks and sum(map(len, ids)) >= GROUP:
+                    yield answers()
+                    ids, rows = [], []
+            if not blocks:
+                ids, rows = [], []  # no vectors of this length in the portion
+        if blocks and ids:
+            yield answers()
 
     return run
 
 
+def _stretches(batches):
+    """((dim, portion, kind), ids, vectors) of consecutive rows of one key."""
+    for batch in batches:
+        keys = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)])
+        ids = batch.column(3).to_numpy(zero_copy_only=False)
+        flat = batch.column(4).flatten().to_numpy(zero_copy_only=False)
+        at = offsets(keys[0])
+        edges = np.flatnonzero(np.any(keys[:, 1:] != keys[:, :-1], axis=0)) + 1
+        for lo, hi in zip([0, *edges], [*edges, len(ids)]):
+            if lo < hi:
+                yield tuple(keys[:, lo]), ids[lo:hi], flat[at[lo] : at[hi]].reshape(hi - lo, -1)
+
+
+class Block:
+    """Some vectors with their statistics at every resolution."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+        self.ids, self.x = ids, vectors.astype(np.int64)
+        self.stats = [_described(self.x, n) for n in _resolutions(vectors.shape[1])]
+        self.largest = float(np.abs(self.x.astype(float)).max())
+
+
 class Best:
     """The best scores so far of a group of queries."""
 
@@ -142,13 +155,13 @@ class Best:
         """The k-th best score of each query, minus infinity where there are fewer."""
         return np.where(self.filled == self.k, self.top[:, -1].astype(np.float64), -np.inf)
 
-    def meet(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        x = vectors.astype(np.int64)
+    def meet(self, block: Block) -> None:
+        ids, x = block.ids, block.x
         alive = self.ids[:, None] != ids[None, :]
-        size = float(np.abs(self.q.astype(float)).max() * np.abs(x.astype(float)).max())
+        size = float(np.abs(self.q.astype(float)).max() * block.largest)
         slack = 1e-9 * x.shape[1] * max(size, 1.0)
-        for n, mine in zip(_resolutions(x.shape[1]), self.stats):
-            bound = mine @ _described(x, n).T + slack
+        for mine, theirs in zip(self.stats, block.stats):
+            bound = mine @ theirs.T + slack
             if np.any(self.filled < self.k):  # the first block: score the most promising
                 likely = np.where(alive, bound, -np.inf)
                 first = np.argsort(-likely, axis=1, kind="stable")[:, : self.k]

@@ -46,6 +46,34 @@ def test_against_brute_force(spark, dim, monkeypatch):
     assert got == brute(rows, 5)
 
 
+def test_tasks_stay_small_however_many_queries(spark, monkeypatch):
+    """Portions hold a bounded number of components, and vectors are shuffled once."""
+    seen = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+    monkeypatch.setattr(topk, "GROUP", 2)
+    monkeypatch.setattr(topk, "PORTION", 400)
+    monkeypatch.setattr(topk, "LEAST_TASKS", 1)
+    rows = vectors(6400, 4, 5)  # 128 queries: 64 groups; 64 portions of about 100 vectors
+    search = topk._search
+
+    def counted(k):
+        run, by_portion, shuffled = search(k), *seen
+
+        def work(batches):
+            held = list(batches)
+            dealt = [r for b in held for r in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            shuffled.add(sum(kind == 0 for _, kind in dealt))
+            largest = max((dealt.count((s, 0)) for s in {s for s, _ in dealt}), default=0)
+            by_portion.add(int(largest > 150))
+            return run(iter(held))
+
+        return work
+
+    monkeypatch.setattr(topk, "_search", counted)
+    got = {tuple(r) for r in topk.top_k(frame(spark, rows), F.col("vec_id") % 50 == 0).collect()}
+    assert seen[0].value == 0 and seen[1].value == 6400
+    assert got == brute(rows, 5)
+
+
 def test_odd_vectors(spark):
     rng = random.Random(3)
     rows = vectors(200, 8, 9)
