@@ -45,6 +45,18 @@ ARROW = {
 }
 
 
+def set_aside(docs: DataFrame, *used: str) -> DataFrame:
+    """The used columns, and all others in the struct `_rest`, where no inner name meets them."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in used]
+    return docs.select(*used, F.struct(*others or [F.lit(0)]).alias("_rest"))
+
+
+def put_back(df: DataFrame, columns: list[str], used: tuple[str, ...], *more) -> DataFrame:
+    """The named columns as they were before set_aside, and some more."""
+    rest = F.col("_rest")
+    return df.select(*(F.col(c) if c in used else rest.getField(c).alias(c) for c in columns), *more)
+
+
 def held_out(doc_id: str = "doc_id"):
     """True for the fifth of the documents whose labels are never learned from."""
     return F.crc32(F.col(doc_id).cast("string")) % 5 == 0

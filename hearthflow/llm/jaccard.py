@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import staged
-from .common import map_batches, table
+from .common import map_batches, put_back, set_aside, table
 from .similar import (
     BLOCK,
     THRESHOLD,
@@ -325,11 +325,14 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     stay = groups.where("first").select(
         F.col("doc_id").alias("_doc"), F.col("tkey").alias("_tkey")
     )
-    kept = docs.withColumn("_k", F.xxhash64("text")).join(
+    used = ("doc_id", "text")
+    kept = set_aside(docs, *used).withColumn("_k", F.xxhash64("text")).join(
         stay, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_k") == F.col("_tkey")), "left_semi"
-    ).drop("_k")
+    )
     again = groups.where("first").groupBy("doc_id", "tkey").count().where("count > 1")
-    return kept if again.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
+    if not again.isEmpty():
+        kept = kept.dropDuplicates(["doc_id", "text"])
+    return put_back(kept, docs.columns, used)
 
 
 def op5_chosen_path_join(spark, sf_dir: str) -> DataFrame:

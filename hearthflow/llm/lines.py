@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import staged
-from .common import table
+from .common import put_back, set_aside, table
 
 WINDOW = 2
 DIVISOR = 3
@@ -102,11 +102,12 @@ def removals(docs: DataFrame) -> DataFrame:
     return again.groupBy("_doc", "_key").agg(F.collect_set("no").alias("_nos"))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, removed: str | None = "_removed") -> DataFrame:
     """The documents with repeated chunks removed from `text`, `n_chars` (if there is one)
-    brought up to date, and `_removed`, the number of chunks removed."""
+    brought up to date, and the number of chunks removed, under the given name (None: without)."""
     gone = staged(removals(docs), "removals")
-    keyed = docs.withColumn("_k", F.xxhash64("text"))
+    used = ("doc_id", "text")
+    keyed = set_aside(docs, *used).withColumn("_k", F.xxhash64("text"))
     joined = keyed.join(
         gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_k") == F.col("_key")), "left"
     ).drop("_doc", "_key", "_k")
@@ -115,10 +116,12 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     text = F.when(F.col("_nos").isNull(), F.col("text")).otherwise(
         F.array_join(F.transform(stay, lambda c: c["body"]), "\n")
     )
-    out = parts.withColumn("text", text).withColumn("_removed", F.coalesce(F.size("_nos"), F.lit(0)))
+    out = parts.withColumn("text", text)
     if "n_chars" in docs.columns:
+        used += ("n_chars",)
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns, "_removed")
+    number = [] if removed is None else [F.coalesce(F.size("_nos"), F.lit(0)).alias(removed)]
+    return put_back(out, [c for c in docs.columns if c != removed], used, *number)
 
 
 def op3_line_chunks(spark, sf_dir: str) -> DataFrame:

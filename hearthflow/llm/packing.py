@@ -32,11 +32,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import staged
-from .common import map_batches, table
+from .common import map_batches, spread, table
 from .tokens import encoder, tokenizer_json
 
 CAPACITY = 2048
+#: Fewest portions in which pieces are numbered, and pieces of a portion beyond that.
 PORTIONS = 256
+PORTION_ROWS = 1_000_000
 
 
 def token_pieces(
@@ -191,52 +193,56 @@ def places(sequences: list[tuple[int, tuple]]) -> list[tuple[int, int, int, int,
 
 
 def pack(pieces: DataFrame, length: str = "length", capacity: int = CAPACITY) -> DataFrame:
-    """The pieces with `sequence_id` and `offset`. Pieces longer than the capacity or without a
-    positive length are refused."""
+    """The pieces with `sequence_id` and `offset` (columns of these names are replaced). Pieces
+    longer than the capacity or without a positive length are refused."""
     spark = pieces.sparkSession
+    # a number of the row that is stored with it, so that a task that is run again orders alike;
+    # the pieces' own columns are in a struct, beside which no name can clash
     kept = staged(
-        pieces.withColumn("_portion", (F.monotonically_increasing_id() % PORTIONS).cast("int")),
+        pieces.select(
+            F.struct(*pieces.columns).alias("kept"),
+            F.col(length).alias("len"),
+            F.monotonically_increasing_id().alias("row"),
+        ),
         "pieces",
     )
-    counts = {r[0]: r[1] for r in kept.groupBy(length).count().limit(capacity + 2).collect()}
+    counts = {r[0]: r[1] for r in kept.groupBy("len").count().limit(capacity + 2).collect()}
     if any(n is None or not 0 < n <= capacity for n in counts):
         raise ValueError(f"lengths must be from 1 to {capacity}")
+    portions = max(PORTIONS, -(-sum(counts.values()) // PORTION_ROWS))
+    kept = kept.withColumn("len", F.col("len").cast("bigint")).withColumn(
+        "portion", spread("row", parts=portions)
+    )
     rows = places(plan(counts, capacity))
     slots = spark.createDataFrame(
-        rows or [(0, 0, 0, 0, 0)],
-        "_len bigint, _first bigint, _many bigint, _seq bigint, _off bigint",
+        rows or [(0, 0, 0, 0, 0)], "len bigint, first bigint, many bigint, seq bigint, off bigint"
     )
-    of_length = Window.partitionBy("_len")
+    of_length = Window.partitionBy("len").orderBy("portion")
     before = (
-        kept.groupBy(F.col(length).alias("_len"), "_portion")
+        kept.groupBy("len", "portion")
         .count()
-        .withColumn(
-            "_before",
-            F.sum("count").over(of_length.orderBy("_portion")) - F.col("count"),
-        )
-        .drop("count")
+        .select("len", "portion", (F.sum("count").over(of_length) - F.col("count")).alias("before"))
     )
-    within = Window.partitionBy(length, "_portion").orderBy(F.lit(0))
+    within = Window.partitionBy("len", "portion").orderBy("row")
     numbered = (
-        kept.withColumn("_n", F.row_number().over(within) - 1)
-        .withColumn("_len", F.col(length).cast("bigint"))
-        .join(before, ["_len", "_portion"])
-        .withColumn("_n", F.col("_n") + F.col("_before"))
-        .drop("_before", "_portion")
+        kept.withColumn("no", F.row_number().over(within) - 1)
+        .join(before, ["len", "portion"])
+        .select("kept", "len", (F.col("no") + F.col("before")).alias("n"))
     )
-    # places that take up the same length are consecutive, so the one for a number is found by
-    # its rank among their first numbers, from one short sorted list per length
-    lists = slots.groupBy("_len").agg(
-        F.sort_array(F.collect_list(F.struct("_first", "_many", "_seq", "_off"))).alias("_slots")
+    # places that take up the same length are consecutive, so the one for a number is the last
+    # that begins at or before it, in one short sorted list per length
+    lists = slots.groupBy("len").agg(
+        F.sort_array(F.collect_list(F.struct("first", "many", "seq", "off"))).alias("slots")
     )
-    ranked = numbered.join(F.broadcast(lists), "_len")
-    slot = F.expr("element_at(_slots, cast(_found as int))")
+    found = F.expr("element_at(slots, cast(size(filter(slots, s -> s.first <= n)) as int))")
     return (
-        ranked.withColumn("_found", F.expr("size(filter(_slots, s -> s._first <= _n))"))
-        .withColumn("_slot", slot)
-        .withColumn("sequence_id", F.col("_slot._seq") + F.col("_n") - F.col("_slot._first"))
-        .withColumn("offset", F.col("_slot._off"))
-        .drop("_slot", "_slots", "_found", "_n", "_len")
+        numbered.join(F.broadcast(lists), "len")
+        .withColumn("slot", found)
+        .select(
+            *(F.col("kept")[c].alias(c) for c in pieces.columns if c not in ("sequence_id", "offset")),
+            (F.col("slot.seq") + F.col("n") - F.col("slot.first")).alias("sequence_id"),
+            F.col("slot.off").alias("offset"),
+        )
     )
 
 

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from ..session import staged
-from .common import table
+from .common import put_back, set_aside, table
 
 ROUNDS = 3
 CONFIDENT = 0.97
@@ -237,16 +237,27 @@ def fit(
     return Model(cuts, views["_text"], views["_meta"], prior)
 
 
-def scored(docs: DataFrame, model: Model | None) -> DataFrame:
-    """The documents with `_score`, in one pass without a shuffle."""
+_USED = ("text", "lang", "source")
+
+
+def _judged(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The documents, their other columns set aside, with `_p`, the probability of good."""
+    inner = set_aside(docs, *_USED)
     if model is None:
-        return docs.withColumn("_score", F.lit(0.5))
-    return docs.withColumn("_x", described("text")).withColumn("_score", model.score("_x")).drop("_x")
+        return inner.withColumn("_p", F.lit(0.5))
+    return inner.withColumn("_x", described("text")).withColumn("_p", model.score("_x"))
+
+
+def scored(docs: DataFrame, model: Model | None, score: str = "_score") -> DataFrame:
+    """The documents with the score under that name, in one pass without a shuffle."""
+    columns = [c for c in docs.columns if c != score]
+    return put_back(_judged(docs, model), columns, _USED, F.col("_p").alias(score))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier does not reject, with all their columns."""
-    return scored(docs, fit(docs, labels)).where("_score >= 0.5").drop("_score")
+    good = _judged(docs, fit(docs, labels)).where("_p >= 0.5")
+    return put_back(good, docs.columns, _USED)
 
 
 def op8_co_training_quality(spark, sf_dir: str) -> DataFrame:

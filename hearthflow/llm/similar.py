@@ -128,7 +128,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root): the smallest node of each connected component, for nodes with edges (a, b).
 
     Large-star and small-star steps in turn (Kiveris et al. 2014), with hot nodes kept apart by
-    grouped minima instead of gathered neighbours; each round is written to the shared folder."""
+    grouped minima instead of gathered neighbours; each round is written to the shared folder. An
+    error if they are not settled after so many rounds."""
     edges = edges.where("a <> b").select(
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
     ).distinct()
@@ -158,6 +159,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components are not settled after {rounds} rounds")
     roots = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.unionByName(edges.select("b", "b").toDF("node", "root")).distinct()
 

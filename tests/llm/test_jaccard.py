@@ -111,6 +111,12 @@ def test_overlaps(sets):
     assert similar.overlaps(arrays, arrays).tolist() == want
 
 
+def test_components_that_are_not_settled(spark):
+    path = spark.createDataFrame([(i, i + 1) for i in range(50)], "a bigint, b bigint")
+    with pytest.raises(RuntimeError):
+        similar.components(path, rounds=2)
+
+
 def test_components(spark):
     rng, edges = random.Random(2), []
     for c in range(30):

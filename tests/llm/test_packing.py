@@ -146,3 +146,18 @@ def test_one_length_held_by_all(spark):
 def test_wrong_lengths_are_refused(spark):
     with pytest.raises(ValueError):
         packing.pack(spark.range(3).select(F.lit(99).alias("length")), capacity=64)
+
+
+def test_names_of_inner_columns_and_the_same_places_again(spark):
+    inner = ["kept", "len", "row", "portion", "before", "no", "n", "slots", "slot", "_n", "_len"]
+    pieces = spark.range(300).select("id", (F.col("id") % 40 + 1).alias("length"))
+    pieces = pieces.select("*", *(F.col("id").alias(c) for c in inner))
+    placed = packing.pack(pieces, capacity=64)
+    rows = placed.collect()
+    assert placed.columns == [*pieces.columns, "sequence_id", "offset"]
+    assert all(r[c] == r["id"] for r in rows for c in inner)
+    check_placed(rows, 64)
+    for other in ("3", "11"):  # dealt over other tasks
+        spark.conf.set("spark.sql.shuffle.partitions", other)
+        assert sorted(placed.collect()) == sorted(rows)
+    spark.conf.set("spark.sql.shuffle.partitions", "8")

@@ -80,3 +80,28 @@ def test_run_gives_the_last_stage(spark, steps):
     want = steps["packing"][1].select(columns).collect()
     assert Counter(got.select(columns).collect()) == Counter(want)
     assert public_tokenizers.path("word_bpe_49k.json") == WORDS
+
+
+#: Names that the operators use inside, as columns of the documents.
+INNER = (
+    "_k _key _doc _nos _lines _hashes _ends _chunks _removed _tkey _x _p _score _portion _len _n "
+    "_slots _rest kept len row portion first slot uid k n_links hash"
+).split()
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_extra_columns_with_inner_names(spark, steps, name):
+    """The same result as without them, and the columns as they were."""
+    given, made = steps[name]
+    extra = given.select("*", *(F.concat(F.lit(c), "doc_id").alias(c) for c in INNER))
+    got = dict(corpus_pipeline.STAGES)[name](spark, extra, SMALL)
+    if name == "packing":
+        columns = ["doc_id", "piece", "length", "ids_crc32"]
+        assert Counter(got.select(columns).collect()) == Counter(made.select(columns).collect())
+        return
+    assert got.columns == extra.columns
+    rows = got.collect()
+    assert all(r[c] == f"{c}{r['doc_id']}" for r in rows for c in INNER)
+    assert Counter((r["doc_id"], r["text"]) for r in rows) == Counter(
+        (r["doc_id"], r["text"]) for r in made.collect()
+    )
