@@ -1,10 +1,14 @@
 """Line dedup by content-defined chunks of lines, in DataFrame operations only.
 
 A rolling hash over the hashes of the last WINDOW lines decides where a chunk of lines ends, so
-lines put in or taken out move the boundaries next to them and no others. Of chunks of several lines
-that occur more than once anywhere, all but the first occurrence (by doc_id, then by the hash of
-the text, then by place) are removed. Chunks are first matched by a 64-bit hash; the chunks of
-the repeated hashes are then compared byte by byte, by grouping on the text itself.
+lines put in or taken out move the boundaries next to them and no others. What is compared are units
+of several lines: each chunk of several lines, and, because a chunk may be one line, each two
+neighbouring chunks of which one or both are one line. Of units that occur more than once anywhere,
+all but the first occurrence (by doc_id, then by the hash of the text, then by place) go: a
+chunk of several lines as such, a pair with its chunks of one line. So single lines inside a copied
+stretch go with it, and a line that is repeated alone, between other neighbours, stays. Units are first
+matched by a 64-bit hash; those of the repeated hashes are then compared byte by byte, by grouping
+on the text itself.
 
 Counts combine within each task before they are shuffled, so that a chunk that a third of all rows
 share costs one row per task; joins on hot chunks carry no order and may be split by Spark. The
@@ -26,7 +30,6 @@ from .common import put_back, set_aside, table
 
 WINDOW = 2
 DIVISOR = 3
-LEAST_LINES = 2
 #: Factor of the rolling hash.
 FACTOR = 1_000_003
 
@@ -59,47 +62,65 @@ def chunked(docs: DataFrame) -> DataFrame:
     return ends.withColumn("_chunks", F.expr(chunks)).drop("_lines", "_hashes", "_ends")
 
 
-def _several(docs: DataFrame) -> DataFrame:
-    """One row per chunk of several lines: _doc, _key, no, hash, body."""
-    inside = F.filter("_chunks", lambda c: c["lines"] >= LEAST_LINES)
-    rows = chunked(docs.select("doc_id", "text")).select(
-        F.col("doc_id").alias("_doc"), "_key", F.explode_outer(inside).alias("_chunk")
+def _units(docs: DataFrame) -> DataFrame:
+    """The documents with `_units`, an array of (unit, gone, body): a chunk of several lines is the unit
+    2 * no, one with the next chunk 2 * no + 1; `gone` are the chunks that a repeated unit removes."""
+    alone = F.expr(
+        """transform(filter(_chunks, c -> c.lines > 1),
+          c -> struct(c.no * 2 as unit, array(c.no) as gone, c.body as body))"""
     )
-    return rows.where("_chunk is not null").select(
-        "_doc", "_key", F.col("_chunk.no").alias("no"),
-        F.xxhash64("_chunk.body").alias("hash"), F.col("_chunk.body").alias("body"),
-    )
+    single = "filter(array(c, n), x -> x.lines = 1)"
+    pairs = F.expr(
+        f"""filter(
+          zip_with(_chunks, slice(_chunks, 2, greatest(size(_chunks) - 1, 0)), (c, n) -> struct(
+            c.no * 2 + 1 as unit, transform({single}, x -> x.no) as gone,
+            concat(c.body, '\n', n.body) as body)),
+          u -> u.body is not null and size(u.gone) > 0)"""
+    )
+    return chunked(docs).withColumn("_units", F.concat(alone, pairs)).drop("_chunks")
 
 
 def removals(docs: DataFrame) -> DataFrame:
     """_doc, _key, _nos: the numbers of the chunks to remove from each document."""
-    places = _several(docs).select("_doc", "_key", "no", "hash").distinct()
+    key = F.col("doc_id").alias("_doc"), "_key"
+    hashed = "transform(_units, u -> struct(u.unit as unit, xxhash64(u.body) as hash))"
+    places = (
+        _units(docs.select("doc_id", "text"))
+        .select(*key, F.explode_outer(F.expr(hashed)).alias("_u"))
+        .where("_u is not null")
+        .select("_doc", "_key", "_u.*")
+        .distinct()
+    )
     repeated = places.groupBy("hash").count().where("count > 1").select("hash")
     wanted = (
         places.join(repeated, "hash", "left_semi")
         .groupBy("_doc", "_key")
-        .agg(F.collect_set("no").alias("_nos"))
+        .agg(F.collect_set("unit").alias("_wanted"))
     )
-    wanted = staged(wanted, "repeated-chunks")
-    # the texts of those chunks only
+    wanted = staged(wanted, "repeated-units")
+    # the texts of those units only
     texts = docs.select("doc_id", "text").withColumn("_k", F.xxhash64("text"))
     texts = texts.join(
         wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_k") == F.col("_key"))
-    ).select("doc_id", "text", "_nos")
+    ).select("doc_id", "text", "_wanted")
     chosen = (
-        chunked(texts)
-        .withColumn("_chunks", F.filter("_chunks", lambda c: F.array_contains("_nos", c["no"])))
-        .select(F.col("doc_id").alias("_doc"), "_key", F.explode_outer("_chunks").alias("_chunk"))
-        .where("_chunk is not null")
-        .select("_doc", "_key", "_chunk.no", "_chunk.body", F.xxhash64("_chunk.body").alias("hash"))
+        _units(texts)
+        .withColumn("_units", F.filter("_units", lambda u: F.array_contains("_wanted", u["unit"])))
+        .select(*key, F.explode_outer("_units").alias("_u"))
+        .where("_u is not null")
+        .select("_doc", "_key", "_u.*", F.xxhash64("_u.body").alias("hash"))
     )
-    chosen = staged(chosen.distinct(), "chunk-texts")
-    first = F.min(F.struct("_doc", "_key", "no")).alias("first")
+    chosen = staged(chosen.distinct(), "unit-texts")
+    first = F.min(F.struct("_doc", "_key", "unit")).alias("first")
     groups = chosen.groupBy("hash", "body").agg(first, F.count("*").alias("n")).where("n > 1")
     again = chosen.join(groups, ["hash", "body"]).where(
-        ~F.struct("_doc", "_key", "no").eqNullSafe(F.col("first"))
+        ~F.struct("_doc", "_key", "unit").eqNullSafe(F.col("first"))
+    )
+    return (
+        again.select("_doc", "_key", F.explode("gone").alias("no"))
+        .groupBy("_doc", "_key")
+        .agg(F.collect_set("no").alias("_nos"))
     )
-    return again.groupBy("_doc", "_key").agg(F.collect_set("no").alias("_nos"))
 
 
 def dedup_lines(docs: DataFrame, removed: str | None = "_removed") -> DataFrame:
@@ -151,10 +172,23 @@ numbered AS (
 chunks AS (
   SELECT doc_id, no, count(*) AS lines, string_agg(line, chr(10) ORDER BY i) AS body
   FROM numbered GROUP BY doc_id, no),
+beside AS (
+  SELECT *, lead(lines) OVER w AS lines_after, lead(body) OVER w AS body_after
+  FROM chunks WINDOW w AS (PARTITION BY doc_id ORDER BY no)),
+units AS (
+  SELECT doc_id, no, lines > 1 AS first_goes, false AS second_goes, body FROM beside WHERE lines > 1
+  UNION ALL
+  SELECT doc_id, no, lines = 1, lines_after = 1, body || chr(10) || body_after FROM beside
+  WHERE lines = 1 AND body_after IS NOT NULL OR lines_after = 1),
+again AS (
+  SELECT * FROM units
+  QUALIFY row_number() OVER (PARTITION BY body ORDER BY doc_id NULLS FIRST, no) > 1),
+marked AS (
+  SELECT doc_id, no FROM again WHERE first_goes
+  UNION SELECT doc_id, no + 1 FROM again WHERE second_goes),
 judged AS (
-  SELECT *, lines >= {LEAST_LINES} AND row_number() OVER (
-    PARTITION BY body, lines >= {LEAST_LINES} ORDER BY doc_id NULLS FIRST, no) > 1 AS gone
-  FROM chunks),
+  SELECT c.*, m.no IS NOT NULL AS gone
+  FROM chunks c LEFT JOIN marked m ON c.doc_id IS NOT DISTINCT FROM m.doc_id AND c.no = m.no),
 cleaned AS (
   SELECT d.doc_id,
     CASE WHEN d.text IS NOT NULL THEN

@@ -83,3 +83,28 @@ def test_no_documents(documents):
 def test_only_spark_operations(documents, shared):
     plan = lines.dedup_lines(documents(shared))._jdf.queryExecution().executedPlan().toString()
     assert not any(word in plan for word in ("Python", "Pandas", "Arrow", "CartesianProduct"))
+
+
+def test_lines_that_are_chunks_of_their_own_go_with_a_copied_stretch(documents):
+    """Inside a copy of many lines none may stay, whatever the cuts; before, those of one line did."""
+    block = prose(40, 77).replace(". ", ".\n").split("\n")
+    block = [f"{i} {line}" for i, line in enumerate(block * 20)][:80]
+    rows = [(i, "\n".join([*prose(6, 500 + i).split(), *block, *prose(6, 600 + i).split()])) for i in range(3)]
+    frame = documents(rows)
+    sizes = [c["lines"] for r in lines.chunked(frame).collect() for c in r["_chunks"]]
+    assert sizes.count(1) > 10
+    out = {r["doc_id"]: r["text"].split("\n") for r in lines.dedup_lines(frame).collect()}
+    assert out[0] == rows[0][1].split("\n")
+    inside = block[10:-10]
+    for i in (1, 2):
+        assert not set(inside) & set(out[i])
+        assert set(prose(6, 500 + i).split()[:5]) <= set(out[i])
+    assert by_spark(frame) == by_sql(rows)
+
+
+def test_a_line_repeated_alone_stays(documents):
+    rows = [(i, "\n".join([*prose(8, 900 + 2 * i).split(), "All rights reserved", *prose(8, 901 + 2 * i).split()]))
+            for i in range(20)]
+    out = {r["doc_id"]: r["text"] for r in lines.dedup_lines(documents(rows)).collect()}
+    assert sum("All rights reserved" in t for t in out.values()) == 20
+    assert by_spark(documents(rows)) == by_sql(rows)
