@@ -1,5 +1,5 @@
-"""foreachBatch sinks. A batch that is replayed writes the same place again, so every
-sink is idempotent."""
+"""foreachBatch sinks. A batch that is replayed is taken in once, see `appended`, so every sink is
+idempotent, and a new checkpoint goes on where the table stands."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.ranking import latest_per_device
 from ..streaming.jobs import every
+from .appended import AppendTable
 
 PATCH = (
     "reading_id",
@@ -32,15 +33,16 @@ def enrichment_patch(
     trigger: dict | None = None,
     prepare: Callable[[DataFrame, int], DataFrame] | None = None,
 ) -> StreamingQuery:
-    """Write the patch columns (and `model_version`, if there is one) of every batch to its own
-    folder. `prepare` makes patches of classified rows batch by batch, see
+    """Append the patch columns (and `model_version`, if there is one) of every batch. `prepare` makes patches of classified rows batch by batch, see
     `plans.models.versioned_enrichment`; without it the rows are patches."""
 
+    table = AppendTable(rows.sparkSession, path, checkpoint)
+
     def write(batch: DataFrame, batch_id: int) -> None:
         if prepare is not None:
             batch = prepare(batch, batch_id)
         columns = [c for c in (*PATCH, VERSION) if c != VERSION or c in batch.columns]
-        batch.select(*columns).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        table.append(batch.select(*columns), batch_id)
 
     return (
         rows.writeStream.foreachBatch(write)
@@ -52,23 +54,29 @@ def enrichment_patch(
 
 def patched(readings: DataFrame, path: str) -> DataFrame:
     """Readings with their newest patch."""
-    spark = readings.sparkSession
-    patches = spark.read.parquet(path)
+    patches = AppendTable(readings.sparkSession, path).read()
     rest = [c for c in (*PATCH, VERSION) if c != "reading_id" and c in patches.columns]
     newest = (
         patches.groupBy("reading_id")
-        .agg(F.max_by(F.struct(*rest), "batch_id").alias("_patch"))
+        .agg(F.max_by(F.struct(*rest), "seq").alias("_patch"))
         .select("reading_id", "_patch.*")
     )
     kept = [c for c in readings.columns if c not in rest]
     return readings.select(*kept).join(newest, "reading_id", "left")
 
 
-def _slot(spark: SparkSession, path: str, number: int) -> DataFrame | None:
-    try:
-        return spark.read.parquet(f"{path}/state/slot_{number}")
-    except AnalysisException:
-        return None
+def _states(spark: SparkSession, path: str) -> dict[int, tuple[int, DataFrame]]:
+    """The complete states: slot, commit and rows."""
+    found = {}
+    for slot in (0, 1):
+        try:
+            rows = spark.read.parquet(f"{path}/state/slot_{slot}")
+        except AnalysisException:
+            continue
+        seq = rows.agg(F.max("seq")).first()[0]
+        if seq is not None:
+            found[slot] = (seq, rows.drop("seq"))
+    return found
 
 
 def device_state(
@@ -76,21 +84,23 @@ def device_state(
 ) -> StreamingQuery:
     """Keep the newest document per device and append every document as history.
 
-    The state table is written in turn to two slots: batch n reads the slot of batch n-1
-    and writes the other, so a replay starts from an untouched table.
+    The state table is written in turn to two slots: a batch reads the newest state of earlier
+    commits and writes the other slot, so a replay starts from an untouched table.
     """
+    history = AppendTable(docs.sparkSession, f"{path}/readings", checkpoint)
+
+    def write_state(fresh: DataFrame, seq: int) -> None:
+        spark, newest = fresh.sparkSession, latest_per_device(fresh, key)
+        earlier = {slot: state for slot, state in _states(spark, path).items() if state[0] < seq}
+        last = max(earlier, key=lambda slot: earlier[slot][0], default=1)
+        if earlier:
+            newest = latest_per_device(newest.unionByName(earlier[last][1]), key)
+        newest.withColumn("seq", F.lit(seq).cast("bigint")).write.mode("overwrite").parquet(
+            f"{path}/state/slot_{1 - last}"
+        )
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{path}/readings/batch_id={batch_id}")
-        fresh = spark.read.schema(batch.schema).parquet(f"{path}/readings/batch_id={batch_id}")
-        newest = latest_per_device(fresh, key)
-        before = _slot(spark, path, (batch_id - 1) % 2) if batch_id else None
-        if before is not None:
-            newest = latest_per_device(newest.unionByName(before.drop("batch_no")), key)
-        newest.withColumn("batch_no", F.lit(batch_id).cast("bigint")).write.mode(
-            "overwrite"
-        ).parquet(f"{path}/state/slot_{batch_id % 2}")
+        history.append(batch, batch_id, write_state)
 
     return (
         docs.writeStream.foreachBatch(write)
@@ -100,17 +110,17 @@ def device_state(
     )
 
 
+def device_history(spark: SparkSession, path: str) -> DataFrame:
+    """All documents, with `seq`, the commit that brought them."""
+    return AppendTable(spark, f"{path}/readings").read()
+
+
 def current_state(spark: SparkSession, path: str) -> DataFrame:
     """The state table of the newest finished batch."""
-    best, newest = None, -1
-    for slot in (_slot(spark, path, 0), _slot(spark, path, 1)):
-        if slot is not None:
-            number = slot.agg(F.max("batch_no")).first()[0]
-            if number is not None and number > newest:
-                best, newest = slot, number
-    if best is None:
+    states = _states(spark, path)
+    if not states:
         raise FileNotFoundError(f"no device state below {path}")
-    return best.drop("batch_no")
+    return max(states.values(), key=lambda state: state[0])[1]
 
 
 def alerts(
