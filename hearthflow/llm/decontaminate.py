@@ -9,7 +9,8 @@ that meets the definition is missed, and nothing else is reported.
 
 Letters are compared in lower case and any white space counts as a blank; positions are those of
 the original text. Items are few beside documents, but their size is not taken for granted: they
-are worked through in blocks of a bounded number of characters, one pass over the documents each.
+are worked through in blocks of a bounded number of characters, one pass over the documents each. The
+driver holds one block at a time.
 
 Null or empty documents match nothing; null or empty items match nothing. Repeated items and
 repeated documents are reported each. Extra columns play no part.
@@ -18,6 +19,7 @@ repeated documents are reported each. Extra columns play no part.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import lru_cache, reduce
 
 import ahocorasick
@@ -25,6 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import staged
 from .common import map_batches, table
 
 ERROR_SHARE = 0.06
@@ -147,20 +150,21 @@ def matcher(items: tuple, share: float) -> Matcher:
     return Matcher(items, share)
 
 
-def item_blocks(items: DataFrame, block_chars: int = BLOCK_CHARS) -> list[tuple]:
-    """The items, in blocks of about so many characters."""
+def item_blocks(items: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[tuple[tuple, bool]]:
+    """The items in blocks of about so many characters, each read when the one before is done with,
+    and whether it is the last."""
     usable = items.select(F.col("item_id").cast("bigint"), "text").where("length(text) > 0")
     total = usable.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(total / block_chars))
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
-    return [
-        tuple(sorted((tuple(r) for r in usable.where(part == b).collect()), key=str))
-        for b in range(blocks)
-    ]
+    for b in range(blocks):
+        found = usable.where(part == b).collect()
+        yield tuple(sorted((tuple(r) for r in found), key=str)), b == blocks - 1
 
 
 def leaks(docs: DataFrame, items: DataFrame, share: float = ERROR_SHARE) -> DataFrame:
-    """One row per document and item that it holds: doc_id, item_id, errors, start, length."""
+    """One row per document and item that it holds: doc_id, item_id, errors, start, length. The rows of
+    a block of items are written before the next block is read."""
 
     def finder(block):
         def run(batches):
@@ -182,12 +186,16 @@ def leaks(docs: DataFrame, items: DataFrame, share: float = ERROR_SHARE) -> Data
     source = docs.select(F.col("doc_id").cast("bigint"), "text")
     return reduce(
         DataFrame.unionByName,
-        [map_batches(source, finder(block), schema) for block in item_blocks(items)],
+        [
+            staged(map_batches(source, finder(block), schema), "leaks")
+            for block, _ in item_blocks(items)
+        ],
     )
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, share: float = ERROR_SHARE) -> DataFrame:
-    """The documents that hold no item, with all their columns; no shuffle."""
+    """The documents that hold no item, with all their columns; no shuffle. What the pass of a block
+    of items leaves is written before the next block is read."""
 
     def clean(block):
         @F.pandas_udf("boolean")
@@ -197,8 +205,9 @@ def without_leaks(docs: DataFrame, items: DataFrame, share: float = ERROR_SHARE)
 
         return check
 
-    for block in item_blocks(items):
+    for block, last in item_blocks(items):
         docs = docs.where(clean(block)("text"))
+        docs = docs if last else staged(docs, "clean")
     return docs
 
 

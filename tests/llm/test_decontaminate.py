@@ -58,7 +58,9 @@ def test_blocks_of_items_give_the_same(spark, documents, odd_rows, monkeypatch):
     one = rows_of(spark, documents, rows, items)
     table = spark.createDataFrame(items, "item_id bigint, text string")
     monkeypatch.setattr(d.item_blocks, "__defaults__", (100,))
-    assert len(d.item_blocks(table)) > 5
+    blocks = list(d.item_blocks(table))
+    assert len(blocks) > 5 and sum(len(b) for b, _ in blocks) == 8
+    assert [last for _, last in blocks] == [False] * (len(blocks) - 1) + [True]
     assert rows_of(spark, documents, rows, items) == one == {(100 + i, i, 0) for i in range(8)}
     kept = d.without_leaks(documents(rows), table)
     assert kept.columns == documents([]).columns
@@ -70,3 +72,29 @@ def test_empty_tables(spark, documents, odd_rows):
     assert rows_of(spark, documents, odd_rows, []) == set()
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert d.without_leaks(documents(odd_rows), none).count() == len(odd_rows)
+
+
+def test_a_block_is_done_before_the_next_is_read(spark, documents, monkeypatch):
+    """The driver may hold one block of items; before, all blocks were collected first."""
+    items = [(i, prose(30, 100 + i)) for i in range(4)]
+    table = spark.createDataFrame(items, "item_id bigint, text string")
+    monkeypatch.setattr(d.item_blocks, "__defaults__", (100,))
+    steps, blocks, write = [], d.item_blocks, d.staged
+
+    def read(*args):
+        for block in blocks(*args):
+            steps.append("read")
+            yield block
+
+    def written(*args):
+        steps.append("write")
+        return write(*args)
+
+    monkeypatch.setattr(d, "item_blocks", read)
+    monkeypatch.setattr(d, "staged", written)
+    rows = [(i, prose(5, i) + t) for i, t in items] + [(9, "clean")]
+    assert d.leaks(documents(rows), table).count() == 4
+    assert steps == ["read", "write"] * (len(steps) // 2) and len(steps) > 4
+    steps.clear()
+    assert [r["doc_id"] for r in d.without_leaks(documents(rows), table).collect()] == [9]
+    assert steps == [*["read", "write"] * (len(steps) // 2), "read"]
