@@ -11,7 +11,7 @@ from ..session import staging_path
 from ..sinks import streams
 from ..sources import wire
 from ..sources.fixture import reading_stream, readings
-from ..streaming import jobs, processors, windows
+from ..streaming import actions, jobs, processors, windows
 from . import inputs
 from .inputs import POSTED, rounded
 from .intake import POST_COLUMNS
@@ -36,6 +36,18 @@ def stream_poll_trigger(spark, sf):
     return jobs.drain(rejected.select("reading_id", "reason"), "poll")
 
 
+@query(check("SELECT reading_id AS alert_id, k < 5 OR k >= 60 AS acknowledged FROM readings"))
+def stream_alert_ack(spark, sf):
+    """Alerts and their acknowledgements as two streams, joined, and the stored alerts with them."""
+    jobs.use_state_store(spark)
+    alert_id = F.col("reading_id").alias("alert_id")
+    raised = reading_stream(spark, sf).select(alert_id)
+    acks = reading_stream(spark, sf).filter("k >= 60").select(alert_id)
+    outcomes = jobs.drain(actions.acknowledgements(raised, acks), "acks")
+    stored = readings(spark, sf).select(alert_id, (F.col("k") < 5).alias("acknowledged"))
+    return actions.acknowledged(stored, outcomes)
+
+
 @query(check("SELECT reading_id, device_id FROM readings"))
 def stream_dedup(spark, sf):
     jobs.use_state_store(spark)
