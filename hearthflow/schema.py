@@ -60,6 +60,7 @@ MASTER_COLUMNS = (
     "responder_status",
 )
 
+# Columns that are numbers, and those a row must have.
 NUMERIC_COLUMNS = (
     "temperature",
     "humidity",
@@ -113,7 +114,7 @@ LABELS = {
     "FALSE_ALARM": 2,
 }
 CLASS_NAMES = {0: "NORMAL", 1: "FIRE", 2: "FALSE_ALARM"}
+# Columns that may hold a label, in order, and the states of a device.
 LABEL_COLUMNS = ("ai_classification_verdict", "fire_state", "label")
-
 FIRE_STATES = ("SAFE", "WARNING", "HIGH_RISK", "FIRE")
 DANGER = ("HIGH_RISK", "FIRE")
