@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.columns import micros
 from ..operators.timeline import anomalies
-from .processors import AT, late_rows
+from .processors import AT, in_order, late_rows, sorted_by_key
 
 #: Rows whose windows are worked out at once.
 PORTION = 20_000
@@ -49,6 +49,7 @@ def spread_summary(name: str, windows: np.ndarray) -> dict[str, np.ndarray]:
 class RingProcessor(StatefulProcessor):
     """Summaries of the last `rows` rows of a key, this one included.
 
+    Rows come in time order (see `processors.sorted_by_key`); a portion of them is held at a time.
     The state is a list of at most rows - 1 rows of the channels' values, oldest first, and the
     newest time. Rows that are late (see `processors.late_rows`) are passed on and marked.
     """
@@ -70,21 +71,25 @@ class RingProcessor(StatefulProcessor):
         self.newest = handle.getValueState("newest", "newest bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
-        arrived = pd.concat(list(rows), ignore_index=True)
-        newest = self.newest.get()[0] if self.newest.exists() else None
-        late = late_rows(arrived, key, newest)
-        fresh = arrived[~late].sort_values(self.order, kind="stable")
-        if len(fresh):
-            before = np.array([tuple(r) for r in self.ring.get()], dtype=float)
-            before = before.reshape(-1, len(self.channels))
-            values = np.concatenate([before, fresh[self.channels].to_numpy(dtype=float)])
-            for lo in range(0, len(fresh), PORTION):
-                part = fresh.iloc[lo : lo + PORTION]
-                yield part.assign(**self._summed(values, len(before) + lo, len(part)), late=False)
-            self.ring.put([tuple(float(x) for x in r) for r in values[-(self.rows - 1) :]])
-            self.newest.update((int(fresh[AT].iloc[-1]),))
-        if late.any():
-            yield arrived[late].assign(**{n: None for n in self.names}, late=True)
+        known = newest = self.newest.get()[0] if self.newest.exists() else None
+        before = np.array([tuple(r) for r in self.ring.get()], dtype=float)
+        before = before.reshape(-1, len(self.channels))
+        for arrived in rows:
+            late = late_rows(arrived, key, known)
+            fresh = arrived[~late]
+            if len(fresh):
+                newest = int(in_order(fresh, newest)[-1])
+                values = np.concatenate([before, fresh[self.channels].to_numpy(dtype=float)])
+                for lo in range(0, len(fresh), PORTION):
+                    part = fresh.iloc[lo : lo + PORTION]
+                    yield part.assign(**self._summed(values, len(before) + lo, len(part)), late=False)
+                before = values[max(0, len(values) - (self.rows - 1)) :]
+            if late.any():
+                yield arrived[late].assign(**{n: None for n in self.names}, late=True)
+        if newest is not None:
+            if len(before):
+                self.ring.put([tuple(float(x) for x in r) for r in before])
+            self.newest.update((newest,))
 
     def _summed(self, values: np.ndarray, at: int, n: int) -> dict[str, np.ndarray]:
         """The summaries of the windows that end at n rows from place `at` on."""
@@ -109,7 +114,8 @@ def _ring(df, rows, channels, key, order, summary, names) -> DataFrame:
             T.StructField("late", T.BooleanType()),
         ]
     )
-    out = df.withColumn(AT, micros("event_time")).groupBy(key).transformWithStateInPandas(
+    timed = sorted_by_key(df.withColumn(AT, micros("event_time")), key, order)
+    out = timed.groupBy(key).transformWithStateInPandas(
         statefulProcessor=RingProcessor(rows, channels, order, summary, names),
         outputStructType=schema,
         outputMode="Append",
