@@ -68,3 +68,11 @@ def test_aggregates_and_rules_stay_in_codegen(spark, name):
     df = QUERIES[name](spark, SMALL)
     df.collect()
     assert "*(1)" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_online_alerts_sends_only_what_it_needs_to_python(spark):
+    text = QUERIES["online_alerts"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    steps = [line for line in text.splitlines() if "MapInArrow" in line]
+    assert len(steps) == 2
+    assert not any(c in text for c in ("servo_angle", "t_sec#", "AS k#"))
+    assert "temperature#" not in max(steps, key=lambda line: "alert_kind" in line)
