@@ -1,3 +1,4 @@
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from hearthflow.llm import packing
-from hearthflow.llm.tokens import Encoder, tokenizer_json
+from hearthflow.llm.common import offsets
+from hearthflow.llm.tokens import Encoder, stretch_starts, tokenizer_json
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
@@ -38,6 +40,32 @@ def test_encoder_gives_the_ids_of_whole_texts(both, text):
     assert np.frombuffer(quick.encode(text), dtype="<u4").tolist() == want
 
 
+STRETCH = re.compile(
+    r" ?\S*'\S*| ?[A-Za-zÀ-ÖØ-öø-ɏ]+| ?[^\sA-Za-zÀ-ÖØ-öø-ɏ]+|\s+(?!\S)|\s+"
+)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet="ab eÉß×÷¿ɏ'.,1 \n\t\r|#", min_size=1, max_size=20), min_size=1))
+def test_array_operations_cut_texts_like_the_rule(texts):
+    cuts = [piece.encode() for text in texts for piece in STRETCH.findall(text)]
+    data = [text.encode() for text in texts]
+    begins = offsets([len(d) for d in data])[:-1]
+    got = stretch_starts(np.frombuffer(b"".join(data), dtype=np.uint8), begins)
+    assert got.tolist() == offsets([len(c) for c in cuts])[:-1].tolist()
+
+
+def test_a_portion_becomes_strings_only_for_its_distinct_stretches(both, monkeypatch):
+    whole, quick = both
+    asked, values = [], quick.words.values
+    monkeypatch.setattr(quick.words, "values", lambda keys, f: asked.append(keys) or values(keys, f))
+    texts = ["ab cd  été " * 3000, None, "", "日本 ab", " cd", "ab'cd \n\n ab", TRICKY, "été\n"]
+    for text, ids in zip(texts, quick.encode_all(texts), strict=True):
+        want = whole.encode(text or "", add_special_tokens=False).ids
+        assert np.frombuffer(ids, dtype="<u4").tolist() == want
+    assert len(asked) == 1 and len(asked[0]) < 20
+
+
 def test_encoder_after_its_memory_is_cleared(both, monkeypatch):
     whole, quick = both
     monkeypatch.setattr("hearthflow.llm.tokens.KEPT", 3)
