@@ -13,6 +13,13 @@ from hearthflow.sources.fixture import readings as read
 BATCH = [q for q in QUERIES if not q.startswith(("stream_", "sink_", "ml_", "champion", "topk_feat"))]
 
 
+@pytest.fixture(autouse=True)
+def no_rows_of_other_tests(request, spark):
+    """Spark would put what other tests have cached in place of a query's own reading."""
+    if "readings" not in request.fixturenames:
+        spark.catalog.clearCache()
+
+
 def plan(df):
     return df._jdf.queryExecution().explainString(
         df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple")
